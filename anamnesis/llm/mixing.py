@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import blocks, words, written
 from .feistel import invert, permute
 
 BLOCK_WORDS = 256
@@ -131,7 +132,7 @@ def _hypergeometric(rng: np.random.Generator, left: np.ndarray, size: int) -> np
 
 
 def draw(spark, sources: list[Source], block: int, seed: int) -> DataFrame:
-    """A row for each slot: shard, slot (place in the shard), source_index, block, words (of the block, from its start)."""
+    """A row for each slot: shard, slot (place in the shard), source_index, turn (pass over the source), block, words (of the block, from its start)."""
     dealt = deal([s.slots for s in sources], seed)
     before = np.cumsum(dealt, axis=0) - dealt
 
@@ -152,10 +153,10 @@ def draw(spark, sources: list[Source], block: int, seed: int) -> DataFrame:
                         size[j == s.slots - 1] = s.last
                         place = permute(done + np.arange(len(j)), n, source_key(seed + 1, shard))
                         done += len(j)
-                        yield pd.DataFrame({"shard": np.int64(shard), "slot": place, "source_index": np.int32(s.index), "block": taken, "words": size})
+                        yield pd.DataFrame({"shard": np.int64(shard), "slot": place, "source_index": np.int32(s.index), "turn": j // s.blocks, "block": taken, "words": size})
 
     shards = len(dealt)
-    return spark.range(0, shards, 1, min(shards, 256)).mapInPandas(run, "shard long, slot long, source_index int, block long, words long")
+    return spark.range(0, shards, 1, min(shards, 256)).mapInPandas(run, "shard long, slot long, source_index int, turn long, block long, words long")
 
 
 @dataclass
@@ -173,10 +174,10 @@ class Mixture:
         return spans.select("doc_id", "copy", "source_index", "block", F.greatest(F.col("start") - first, F.lit(0)).alias("begin"), F.least(F.col("start") + F.col("size") - first, F.lit(b)).alias("end"), F.greatest(first - F.col("start"), F.lit(0)).alias("skip"))
 
     def taken(self) -> DataFrame:
-        """What the mix takes: doc_id, copy, shard, slot, skip, words; blocks and slots are joined by index."""
+        """What the mix takes: doc_id, copy, shard, slot, turn, skip, words; blocks and slots are joined by index."""
         joined = self.pieces().join(self.slots, ["source_index", "block"])
         got = F.least(F.col("end"), F.col("words")) - F.col("begin")
-        return joined.select("doc_id", "copy", "shard", "slot", "skip", got.alias("words")).where("words > 0")
+        return joined.select("doc_id", "copy", "shard", "slot", "turn", "skip", got.alias("words")).where("words > 0")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), scale: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 0, sizes: Column | None = None) -> Mixture:
@@ -199,3 +200,42 @@ def mix_counts(m: Mixture) -> DataFrame:
     sums = m.taken().groupBy(F.col("doc_id").alias("d"), F.col("copy").alias("c")).agg(F.sum("words").alias("taken"))
     rows = m.documents.join(F.broadcast(named), "source_index")
     return rows.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left").select("doc_id", "copy", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:
+    """The mixture as documents: for each pass over its source that takes words of a document, the runs of taken words,
+    as rows with the document's columns, the run as text and its length as n_chars (if there is one). Rows of one id are
+    told apart as in mix()."""
+    spans = m.taken().groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("turn", "skip", "words"))).alias("spans"))
+    sign = F.struct(F.xxhash64("text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), F.col("source"))
+    repeats = m.documents.where("copy > 1").limit(1).count()
+    rows = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(sign)) if repeats else F.lit(1))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_c"), "spans")
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_c"))).select(*docs.columns, "spans")
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in blocks(batch.column(at)):
+                starts, ends = words(data, offsets)
+                first = np.searchsorted(starts, offsets[:-1])
+                raw, texts, owner = data.tobytes(), [], []
+                for i, parts in enumerate(batch.column(len(names)).slice(lo, hi - lo).to_pylist()):
+                    runs: list[list[int]] = []
+                    for p in parts:
+                        if runs and runs[-1][0] == p["turn"] and runs[-1][2] == p["skip"]:
+                            runs[-1][2] += p["words"]
+                        else:
+                            runs.append([p["turn"], p["skip"], p["skip"] + p["words"]])
+                    for _, a, b in runs:
+                        texts.append(raw[starts[first[i] + a] : ends[first[i] + b - 1]].decode("utf-8", "replace"))
+                        owner.append(lo + i)
+                kept = batch.take(pa.array(owner, pa.int64()))
+                columns = [kept.column(j) for j in range(len(names))]
+                columns[at] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    j = names.index("n_chars")
+                    columns[j] = pa.array([len(t) for t in texts], pa.int64()).cast(kept.column(j).type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)
