@@ -26,10 +26,10 @@ BEGIN = 63
 #: Letters of one instance; a longer word is read in overlapping parts.
 WIDTH = 24
 #: Labelled texts of each label that are learned from, at most about; words and landmarks of the training.
-SAMPLE, WORDS, LANDMARKS = 6000, 20_000, 256
+SAMPLE, WORDS, LANDMARKS = 6000, 20_000, 512
 MEMO = 1 << 20
 #: Rounds of choosing witnesses and training again.
-ROUNDS = 3
+ROUNDS = 5
 # Characters often put in place of a letter.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
@@ -52,11 +52,12 @@ PATTERNS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
 def norms(length: np.ndarray) -> np.ndarray:
-    """Length of the description of a string of so many letters, were its subsequences distinct."""
+    """Length of the description of a string of so many letters, were its subsequences distinct, and of one of five
+    letters besides: so short strings, which have few subsequences, get small values rather than one large one."""
     total = np.zeros(WIDTH + 1)
     for _, k in PATTERNS:
         total += DECAY ** (2 * (k + 1)) * np.maximum(0, np.arange(WIDTH + 1) - k)
-    return np.sqrt(np.maximum(total, 1e-12))[length]
+    return np.sqrt(total + total[5])[length]
 
 
 def matrix(strings: list[str] | str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,21 +196,33 @@ def nystroem(landmarks: list[str], strings: list[str]) -> tuple[np.ndarray, np.n
     return out, known, z
 
 
-def train(landmarks: list[str], strings: list[str], labels: np.ndarray, importance: np.ndarray, cost: float = 1e4, steps: int = 800) -> Machine:
+def train(landmarks: list[str], strings: list[str], labels: np.ndarray, importance: np.ndarray, cost: float = 1e4, steps: int = 60) -> Machine:
     """Squared-hinge machine on Nystroem features, folded into weights of subsequences."""
     k, known, z = nystroem(landmarks, strings)
     values, vectors = np.linalg.eigh(z @ z.T)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3 * values.max()))) @ vectors.T
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-5 * values.max()))) @ vectors.T
     x, y = k @ root, np.where(labels > 0, 1.0, -1.0)
     share = importance / np.array([importance[y == s].sum() + 1e-12 for s in (1.0, -1.0)])[(y < 0).astype(int)] / 2
-    w, b = np.zeros(x.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (x @ w + b)) * share * y
-        g = np.append(w / cost - 2 * slack @ x, -2 * slack.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9) * (1 - t / (steps + 1))
-        w, b = w - step[:-1], b - step[-1]
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.full(k.shape[1], 1 / cost), 1e-9)
+    w = np.zeros(x.shape[1])
+
+    def loss(w):
+        return (share * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum()
+
+    now = loss(w)
+    for _ in range(steps):  # Newton steps on the rows within the margin
+        inside = y * (x @ w) < 1
+        a, t = x[inside], share[inside]
+        step = np.linalg.solve((a * t[:, None]).T @ a + np.diag(ridge), a.T @ (t * y[inside])) - w
+        rate = 1.0
+        while rate > 1e-4 and loss(w + rate * step) > now:
+            rate /= 2
+        w = w + rate * step
+        before, now = now, loss(w)
+        if before - now <= 1e-9 * before:
+            break
+    w, b = w[:-1], w[-1]
     out = np.zeros(SYMBOLS**3, np.float32)
     out[known] = (root @ w) @ z
     return Machine(out, float(b))
@@ -247,20 +260,24 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     counted = some.select("t", "y").mapInArrow(distinct, "word string, y int").where("length(word) > 2").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     counted = written(counted, "words")
     n1, n0 = sizes[1], sizes[0]
-    rate = (F.col("bad") + 0.5) / (n1 + 1), (F.col("good") + 0.5) / (n0 + 1)
-    ranked = counted.withColumn("odds", F.log(rate[0] / rate[1])).withColumn("z", F.col("odds") * F.sqrt(F.col("bad")))
-    marked = ranked.where("bad >= 2 AND odds > 1.5").orderBy(F.desc("z"), "word").limit(WORDS // 4).toPandas()
-    clean = ranked.where("good >= 1 AND odds < 0.7").orderBy(F.xxhash64("word"), "word").limit(WORDS).toPandas()
-    best = marked.z.max() if len(marked) else 0.0
-    marked = marked[marked.z >= max(3.0, 0.15 * best)]
+    # a word marks toxic texts where chance would hardly give any word so uneven a share: n KL(share of the word, share
+    # of all) >= log of the number of words
+    base = n1 / (n1 + n0)
+    seen_in = F.col("bad") + F.col("good")
+    uneven = F.col("bad") * F.log(F.greatest(F.col("bad"), F.lit(1e-9)) / seen_in / base) + F.col("good") * F.log(F.greatest(F.col("good"), F.lit(1e-9)) / seen_in / (1 - base))
+    ranked = counted.withColumns({"z": uneven, "over": F.col("bad") / seen_in > base})
+    least = float(np.log(max(2, counted.count())))
+    marked = ranked.where(F.col("over") & (F.col("bad") > 2 * base * seen_in / (1 + base)) & (F.col("z") >= least)).orderBy(F.desc("z"), "word").limit(WORDS // 4).toPandas()
+    clean = ranked.where((F.col("good") >= 1) & ~(F.col("over") & (F.col("z") >= least / 2))).orderBy(F.xxhash64("word"), "word").limit(WORDS).toPandas()
     if not len(marked) or not len(clean):
         return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, (0.0, 0.0, float(np.log(n1 / n0))))
     bad_marks = _spread(marked.word.tolist(), LANDMARKS // 2)
     landmarks = bad_marks + clean.sort_values(["good", "word"], ascending=[False, True]).word.tolist()[: LANDMARKS // 4]
     strings, y = marked.word.tolist() + clean.word.tolist(), np.r_[np.ones(len(marked)), np.zeros(len(clean))]
-    importance = np.r_[np.sqrt(marked.bad.to_numpy(float)), np.ones(len(clean))]
+    importance = np.r_[np.sqrt(marked.bad.to_numpy(float)), np.sqrt(clean.good.to_numpy(float))]
     machine = train(landmarks, strings, y, importance)
 
+    met: dict[str, tuple[float, float, float]] = {}
     for _ in range(ROUNDS):  # witnesses: the most toxic words of each toxic text, and those of clean texts as counterexamples
         shared = spark.sparkContext.broadcast(machine)
 
@@ -271,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                     _, (row, margin, starts, ends) = shared.value.texts(data, offsets)
                     order = np.lexsort((-margin, row))
                     nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-                    pick = order[nth < np.where(label[lo + row[order]] == 1, 2, 3)]
+                    pick = order[nth < np.where(label[lo + row[order]] == 1, 2, 8)]
                     raw = data.tobytes()
                     text = ["".join(c for c in raw[a:b].decode("utf-8", "replace").lower() if c.isalnum()) for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(label[lo + row[pick]].astype(np.int32)), pa.array(margin[pick].astype(np.float64))], names=["word", "y", "margin"])
@@ -279,12 +296,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         seen = some.select("t", "y").mapInArrow(witnesses, "word string, y int, margin double").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.max("margin").alias("margin")).toPandas()
         seen = seen[seen.word.str.len() > 2]
         hard = seen[(seen.good > 0) & (seen.good * n1 >= 0.2 * seen.bad * n0)]
-        sure = seen[(seen.bad > 0) & (seen.good == 0) & (seen.margin > 0)]
-        more = strings + sure.word.tolist() + hard.word.tolist()
-        marks = np.r_[y, np.ones(len(sure)), np.zeros(len(hard))]
-        weight = np.r_[importance, np.sqrt(sure.bad.to_numpy(float)), 2.0 * np.sqrt(hard.good.to_numpy(float))]
+        sure = seen[(seen.bad > 0) & (seen.good == 0) & (seen.margin > 0.5)]
+        met.update({w: (g, 2.0 * g**0.5, m) for w, g, m in zip(hard.word, hard.good.astype(float), hard.margin, strict=True)})
+        found = dict(zip(sure.word, np.sqrt(sure.bad.astype(float)), strict=True))
+        more = strings + list(found) + list(met)
+        marks = np.r_[y, np.ones(len(found)), np.zeros(len(met))]
+        weight = np.r_[importance, list(found.values()), [w for _, w, _ in met.values()]]
         # the counterexamples that come nearest stand as landmarks too
-        near = hard.assign(rank=hard.margin * np.sqrt(hard.good)).sort_values(["rank", "word"], ascending=[False, True]).word.tolist()
+        near = sorted(met, key=lambda w: (-(met[w][2] + 1) * met[w][1], w))
         machine = train(bad_marks + _spread(near, LANDMARKS // 2), more, marks, weight)
     shared = spark.sparkContext.broadcast(machine)
 
@@ -296,7 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
 
     kind = some.schema["y"].dataType.simpleString()
     t = some.select("t", "y").mapInArrow(tops, f"a double, b double, y {kind}").toPandas()
-    machine.calibration = _logistic(t[["a", "b"]].to_numpy(), t.y.to_numpy(float))
+    # the sample's shares are not those of the labels: half-way between the two on the scale of odds
+    shares = _sizes(labels, training, label_col)
+    tilt = (shares[0] / max(1, shares[1]) * n1 / n0) ** 0.5
+    machine.calibration = _logistic(t[["a", "b"]].to_numpy(), t.y.to_numpy(float), np.where(t.y > 0, 1.0, tilt))
     return machine
 
 
@@ -312,11 +334,16 @@ def _spread(ranked: list[str], n: int) -> list[str]:
     return [ranked[i] for i in chosen]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, float, float]:
-    """Balanced logistic regression of two margins, by Newton steps."""
+def _sizes(labels: DataFrame, training: Column, label_col: str) -> tuple[int, int]:
+    rows = {r[0]: r[1] for r in labels.where(training & F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
+    return rows.get(0, 0), rows.get(1, 0)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3) -> tuple[float, float, float]:
+    """Logistic regression of two margins, by Newton steps."""
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(3)
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    share = weight / weight.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         g = a.T @ (share * (p - y)) + penalty * w
