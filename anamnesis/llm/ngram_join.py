@@ -29,7 +29,9 @@ SKETCH, CHUNKS = 1 << 18, 64
 #: Postings of a bucket, about, and of one list before it is split into blocks.
 BUCKET, HOT = 1_500_000, 50_000
 #: Rounds in which a list with many open pairs tries some of them for each class, and how many; then all are compared.
-TRIALS, TRIED = 5, 8
+TRIALS, TRIED = 5, 3
+#: Bits of a set's parity sketch, up to so many members and beyond.
+PARITY = ((1000, 1024), (1 << 62, 4096))
 #: Bits of the filter that tells which texts a round needs; more classes only make it let more pass.
 BLOOM = 1 << 24
 
@@ -79,6 +81,25 @@ def names_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def parities_of(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Of each set, whether each of its sketch's cells has an odd number of members: sets differ in at least as many
+    members as their sketches differ in cells."""
+    out = []
+    for i in range(len(bounds) - 1):
+        members = h[bounds[i] : bounds[i + 1]]
+        bits = next(b for most, b in PARITY if len(members) <= most)
+        out.append(np.packbits(np.bincount(((members >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes())
+    return out
+
+
+def cells_apart(a: bytes, b: bytes) -> int:
+    """Cells in which two sketches differ; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The smallest intersection with which sets of these sizes link: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -89,7 +110,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (kind 0: id, n, c, d, the names of its set) and partial sketches (kind 1: n is the chunk)."""
+    """Rows of documents (kind 0: id, n, c, d, the names of its set, and its parity sketch) and partial sketches (kind 1: n is the chunk)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, kind = np.zeros(SKETCH, np.uint32), None
@@ -99,7 +120,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sketch += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 c, d = names_of(h, bounds)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(lo, n), pa.array(np.diff(bounds)), pa.array(c.view(np.int64)), pa.array(d.view(np.int64)), pa.nulls(n, pa.binary())], names=["kind", "id", "n", "c", "d", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).slice(lo, n), pa.array(np.diff(bounds)), pa.array(c.view(np.int64)), pa.array(d.view(np.int64)), pa.array(parities_of(h, bounds), pa.binary())], names=["kind", "id", "n", "c", "d", "part"])
         if kind is not None:
             parts = [x.tobytes() for x in np.split(sketch, CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), pa.nulls(CHUNKS, kind), pa.array(np.arange(CHUNKS)), *[pa.array(np.zeros(CHUNKS, np.int64))] * 2, pa.array(parts, pa.binary())], names=["kind", "id", "n", "c", "d", "part"])
@@ -229,29 +250,37 @@ def shared_lists(packed: DataFrame) -> DataFrame:
     return written(packed.groupBy("bucket").applyInArrow(run, "bucket int, part binary").where("length(part) > 0"), "lists")
 
 
-def pivots(lists: DataFrame) -> DataFrame:
-    """For each class, the smallest class that heads one of its lists and that its size could link with: x, y."""
+def _within_bounds(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the postings i and j of one list can be of classes that link: by length, and by what follows this shingle."""
+    need = least_overlap(n[i], n[j], percent)
+    return (np.minimum(n[i], n[j]) >= need) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
+
+
+def pivots(lists: DataFrame, percent: int) -> DataFrame:
+    """For each class, the smallest class that heads one of its lists and that it could link with by length and place: x, y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                name, c, n, _ = _unpack([part])
+                name, c, n, at = _unpack([part])
                 edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
-                head = np.repeat(c[edge[:-1]], np.diff(edge))
-                order = np.lexsort((head, c))
-                x, y = c[order], head[order]
-                one = np.concatenate([[True], x[1:] != x[:-1]])
-                x, y = x[one], y[one]
+                first = np.repeat(edge[:-1], np.diff(edge))
+                may = np.flatnonzero(_within_bounds(n.astype(np.int64), at.astype(np.int64), np.arange(len(n)), first, percent))
+                order = may[np.lexsort((c[first[may]], c[may]))]
+                x, y = c[order], c[first[order]]
                 x, y = x[x != y], y[x != y]
+                one = np.ones(len(x), bool)
+                np.not_equal(x[1:], x[:-1], out=one[1:])
+                x, y = x[one], y[one]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
 
     # unsigned order is lost in the signed column; any fixed choice will do
     return lists.select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int) -> DataFrame:
+def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, buckets: int) -> DataFrame:
     """Pairs of classes in one list and different components that pass length and positional bounds: x, y, more.
-    A list with very many offers some for each class while trial < TRIALS, and says so in `more`."""
+    A long list with very many offers some for each class while trial < TRIALS, and says so in `more`. labels: c, k."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,42 +291,79 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(name[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(at[s].astype(np.int64))], names=["list", "c", "n", "at"])
 
     every = lists.select("part").mapInArrow(rows, "list long, c long, n long, at long")
-    named = every.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component")
-    mixed = named.groupBy("list").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("w")).where("a <> b").select("list")
-    left = named.join(mixed, "list", "left_semi")
+    named = every.join(labels, "c")
+    mixed = named.groupBy("list").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("list")
+    left = named.join(mixed, "list", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
 
     def run(t: pa.Table) -> pa.Table:
-        c, n, at, k = (t.column(x).to_numpy() for x in ("c", "n", "at", "k"))
-        order = np.argsort(c)
-        c, n, at, k = c[order], n[order], at[order], k[order]
-        xs, ys, g, more = [], [], len(c), False
-        some = trial < TRIALS and g > 64
-        for lo in range(0, g, max(1, 4_000_000 // g)):
-            i = np.arange(lo, min(g, lo + max(1, 4_000_000 // g)))
-            need = least_overlap(n[i][:, None], n[None, :], percent)
-            reach = np.minimum((n[i] - at[i])[:, None], (n - at)[None, :])  # this shingle and what follows
-            ok = (c[i][:, None] < c[None, :]) & (k[i][:, None] != k[None, :]) & (np.minimum(n[i][:, None], n[None, :]) >= need) & (reach >= need)
-            a, b = np.nonzero(ok)
-            if some and len(a) > TRIED * 4 * len(i):
-                draw = mix((c[i][a] * 31 + c[b] + trial).astype(np.int64).view(np.uint64))
-                order = np.lexsort((draw, a))
-                start = np.concatenate([[0], np.flatnonzero(np.diff(a[order])) + 1])
-                nth = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-                pick = order[nth < TRIED]
-                a, b, more = a[pick], b[pick], True
-            xs.append(c[i][a])
-            ys.append(c[b])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        return pa.table({"x": pa.array(x), "y": pa.array(y), "more": pa.array(np.full(len(x), more))})
-
-    pairs = left.groupBy("list").applyInArrow(run, "x long, y long, more boolean")
-    return pairs.groupBy("x", "y").agg(F.max("more").alias("more"))
-
-
-def compare(docs: DataFrame, owners: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Intersects the sets of each pair: x, y, linked. owners: c and the id of one document of each class."""
-    spark = docs.sparkSession
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        name, c, n, at, k = (t.column(x).to_numpy() for x in ("list", "c", "n", "at", "k"))
+        order = np.lexsort((c, name))
+        name, c, n, at, k = name[order], c[order], n[order], at[order], k[order]
+        edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
+        width = np.repeat(np.diff(edge), np.diff(edge))
+        xs, ys, more = [], [], []
+
+        def take(i, j, partly=False):
+            ok = (k[i] != k[j]) & _within_bounds(n, at, i, j, percent)
+            xs.append(c[i[ok]])
+            ys.append(c[j[ok]])
+            more.append(np.full(int(ok.sum()), partly))
+
+        short = np.flatnonzero(width <= 64)
+        for d in range(1, 64):  # lists of up to 64 classes, all together
+            i = short[short + d < len(name)]
+            i = i[name[i] == name[i + d]]
+            if not len(i):
+                break
+            take(i, i + d)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            g = hi - lo
+            if g <= 64:
+                continue
+            step = max(1, 2_000_000 // g)
+            for a in range(lo, hi, step):
+                i, j = np.divmod(np.arange(min(step, hi - a) * g), g)
+                i, j = i + a, j + lo
+                ok = (i < j) & (k[i] != k[j])
+                i, j = i[ok], j[ok]
+                ok = _within_bounds(n, at, i, j, percent)
+                i, j = i[ok], j[ok]
+                if trial < TRIALS and len(i) > 4 * TRIED * min(step, hi - a):
+                    draw = mix((c[i] * 31 + c[j] + trial).astype(np.int64).view(np.uint64))
+                    order = np.lexsort((draw, i))
+                    start = np.concatenate([[0], np.flatnonzero(np.diff(i[order])) + 1])
+                    nth = np.arange(len(i)) - np.repeat(start, np.diff(np.concatenate([start, [len(i)]])))
+                    pick = order[nth < TRIED]
+                    take(i[pick], j[pick], True)
+                else:
+                    take(i, j)
+        x, y, partly = (np.concatenate(z) if z else np.zeros(0, kind) for z, kind in ((xs, np.int64), (ys, np.int64), (more, bool)))
+        _, one = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+        return pa.table({"x": pa.array(x[one]), "y": pa.array(y[one]), "more": pa.array(np.full(len(one), bool(partly.any())))})
+
+    pairs = left.groupBy("bucket").applyInArrow(run, "x long, y long, more boolean")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "more").groupBy("x", "y").agg(F.max("more").alias("more"))
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parity sketches let them link: x, y."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            spare = a + b - 2 * least_overlap(a, b, percent)
+            ok = [cells_apart(p, q) <= s for p, q, s in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), spare.tolist(), strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    one = classes.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    two = classes.select(F.col("c").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "px", "ny", "py").mapInArrow(run, "x long, y long")
+
+
+def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Intersects the sets of each pair that passes the sketches: x, y, linked. classes: c, n, parity, id of one document."""
+    spark, owners = docs.sparkSession, classes.select("c", "id")
+    pairs = written(possible(pairs, classes, percent), "possible")
     crowd = pairs.groupBy("y").agg(F.floor(F.count("*") / 256).alias("salts"))
     pairs = written(pairs.join(crowd, "y").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts") + 1)).select("x", "y", "salt"), "pairs")
     asks = pairs.select(F.col("x").alias("c"), F.col("y").alias("to"), "salt", F.lit(False).alias("head")).union(pairs.select(F.col("y"), F.col("y"), "salt", F.lit(True)).distinct())
@@ -372,6 +438,13 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (c, k) after new links: only links between different components are followed."""
+    k = whole.select("c", "k")
+    apart = links.join(k.toDF("x", "a"), "x").join(k.toDF("y", "b"), "y").where("a <> b").select("a", "b")
+    return written(whole.join(components(apart).withColumnRenamed("node", "k"), "k", "left").select("c", F.coalesce("component", "k").alias("k")), "labels")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of the links between documents whose sets of 5-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -382,26 +455,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     profiled = profile(docs, id_col, text_col)
     rows = profiled.where("kind = 0")
-    classes = written(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("d").alias("d1"), F.max("d").alias("d2")), "classes")
+    classes = written(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.first("part").alias("parity")), "classes")
     if classes.where("d1 <> d2").limit(1).count():
         raise ValueError("two sets share a 64-bit name; change the coefficients")
     ranks, excess = rarity(profiled)
     total = rows.agg(F.sum(F.col("n") + 4)).collect()[0][0] or 0
     buckets = int(max(24, total // 4 // BUCKET))
     lists = shared_lists(postings(docs, ranks, excess, buckets, percent, text_col))
-    owners = classes.select("c", "id")
-    compared = compare(docs, owners, pivots(lists), percent, id_col, text_col)
-    labels = components(compared.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tried = written(pivots(lists, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tried")
+    whole = classes.select("c", F.col("c").alias("k"))
+    links = compare(docs, classes, tried, percent, id_col, text_col).where("linked")
     for trial in range(TRIALS + 1):
-        fresh = written(open_pairs(lists, labels, percent, trial).join(compared, ["x", "y"], "left_anti"), "open")
-        some = fresh.agg(F.count("*"), F.max("more")).collect()[0]
-        if not some[0]:
+        whole = merged(whole, links)
+        fresh = written(open_pairs(lists, whole, percent, trial, buckets).join(tried, ["x", "y"], "left_anti"), "open")
+        n, partly = fresh.agg(F.count("*"), F.max("more")).collect()[0]
+        if not n and (trial == 0 or not sampled):
             break
-        compared = written(compared.union(compare(docs, owners, fresh, percent, id_col, text_col)), "compared")
-        labels = components(compared.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if not some[1]:
+        links = compare(docs, classes, fresh.select("x", "y"), percent, id_col, text_col).where("linked")
+        tried, sampled = tried.union(fresh.select("x", "y")), partly if n else sampled
+        if not sampled or trial == TRIALS:  # every open pair has been compared
+            whole = merged(whole, links)
             break
-    whole = written(classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "id", F.coalesce("component", "c").alias("k")), "labels")
+    whole = whole.join(classes.select("c", "id"), "c")
     least = whole.groupBy("k").agg(F.min("id").alias("component_id"))
     found = whole.join(least, "k").select("c", "component_id")
     full, blank = rows.where("n > 0"), rows.where("n = 0")
