@@ -26,7 +26,7 @@ BEGIN = 63
 #: Letters of one instance; a longer word is read in overlapping parts.
 WIDTH = 24
 #: Labelled texts of each label that are learned from, at most about; words and landmarks of the training.
-SAMPLE, WORDS, LANDMARKS = 6000, 20_000, 512
+SAMPLE, WORDS, LANDMARKS = 5000, 12_000, 400
 MEMO = 1 << 20
 #: Rounds of choosing witnesses and training again.
 ROUNDS = 5
@@ -100,9 +100,9 @@ def describe(strings: list[str]) -> np.ndarray:
     rows, codes, weights = [], [], []
     for code, weight in occurrences(grid):
         r, p = np.nonzero(code)
-        rows.append(r)
+        rows.append(r.astype(np.int32))
         codes.append(code[r, p])
-        weights.append(weight * scale[r])
+        weights.append((weight * scale[r]).astype(np.float32))
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
@@ -182,39 +182,50 @@ def nystroem(landmarks: list[str], strings: list[str]) -> tuple[np.ndarray, np.n
     """(kernel values of strings and landmarks, codes of the landmarks' subsequences, descriptions of the landmarks by code)."""
     rows, codes, weights = describe(landmarks)
     known = np.unique(codes)
-    z = np.zeros((len(landmarks), len(known)))
+    z = np.zeros((len(landmarks), len(known)), np.float32)
     np.add.at(z, (rows, np.searchsorted(known, codes)), weights)
-    out = np.zeros((len(strings), len(landmarks)))
-    for lo in range(0, len(strings), 1000):
-        part = strings[lo : lo + 1000]
+    out = np.zeros((len(strings), len(landmarks)), np.float32)
+    step = max(1, 4_000_000 // max(1, len(known)))
+    for lo in range(0, len(strings), step):
+        part = strings[lo : lo + step]
         rows, codes, weights = describe(part)
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         hit = known[at] == codes
-        x = np.zeros((len(part), len(known)))
+        x = np.zeros((len(part), len(known)), np.float32)
         np.add.at(x, (rows[hit], at[hit]), weights[hit])
-        out[lo : lo + 1000] = x @ z.T
+        out[lo : lo + step] = x @ z.T
     return out, known, z
 
 
 def train(landmarks: list[str], strings: list[str], labels: np.ndarray, importance: np.ndarray, cost: float = 1e4, steps: int = 60) -> Machine:
     """Squared-hinge machine on Nystroem features, folded into weights of subsequences."""
-    k, known, z = nystroem(landmarks, strings)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    x, known, z = nystroem(landmarks, strings)
+    values, vectors = np.linalg.eigh((z @ z.T).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-5 * values.max()))) @ vectors.T
-    x, y = k @ root, np.where(labels > 0, 1.0, -1.0)
+    parts = [slice(lo, lo + 4096) for lo in range(0, len(x), 4096)]
+    for p in parts:  # in place: the driver's memory is small
+        x[p] = x[p] @ root
+    y = np.where(labels > 0, 1.0, -1.0)
     share = importance / np.array([importance[y == s].sum() + 1e-12 for s in (1.0, -1.0)])[(y < 0).astype(int)] / 2
-    x = np.column_stack([x, np.ones(len(x))])
-    ridge = np.append(np.full(k.shape[1], 1 / cost), 1e-9)
-    w = np.zeros(x.shape[1])
+    ridge = np.append(np.full(x.shape[1], 1 / cost), 1e-9)
+    w = np.zeros(x.shape[1] + 1)
+
+    def margins(w):
+        return y * np.concatenate([x[p] @ w[:-1] + w[-1] for p in parts])
 
     def loss(w):
-        return (share * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (ridge * w * w).sum()
+        return (share * np.maximum(0, 1 - margins(w)) ** 2).sum() + (ridge * w * w).sum()
 
     now = loss(w)
     for _ in range(steps):  # Newton steps on the rows within the margin
-        inside = y * (x @ w) < 1
-        a, t = x[inside], share[inside]
-        step = np.linalg.solve((a * t[:, None]).T @ a + np.diag(ridge), a.T @ (t * y[inside])) - w
+        inside = margins(w) < 1
+        h, g = np.diag(ridge), np.zeros(len(w))
+        for p in parts:
+            a = np.column_stack([x[p][inside[p]], np.ones(int(inside[p].sum()))]).astype(float)
+            t = share[p][inside[p]]
+            h = h + (a * t[:, None]).T @ a
+            g = g + a.T @ (t * y[p][inside[p]])
+        step = np.linalg.solve(h, g) - w
         rate = 1.0
         while rate > 1e-4 and loss(w + rate * step) > now:
             rate /= 2
