@@ -30,6 +30,8 @@ SKETCH, CHUNKS = 1 << 18, 64
 BUCKET, HOT = 1_500_000, 50_000
 #: Rounds in which a list with many open pairs tries some of them for each class, and how many; then all are compared.
 TRIALS, TRIED = 5, 3
+#: Pairs that one step looks at.
+PAIRS = 200_000
 #: Bits of a set's parity sketch, up to so many members and beyond.
 PARITY = ((1000, 1024), (1 << 62, 4096))
 #: Bits of the filter that tells which texts a round needs; more classes only make it let more pass.
@@ -293,7 +295,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, bu
     every = lists.select("part").mapInArrow(rows, "list long, c long, n long, at long")
     named = every.join(labels, "c")
     mixed = named.groupBy("list").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("list")
-    left = named.join(mixed, "list", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+    left = named.join(mixed, "list", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
 
     def run(t: pa.Table) -> pa.Table:
         name, c, n, at, k = (t.column(x).to_numpy() for x in ("list", "c", "n", "at", "k"))
@@ -320,15 +322,17 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, bu
             g = hi - lo
             if g <= 64:
                 continue
-            step = max(1, 2_000_000 // g)
-            for a in range(lo, hi, step):
-                i, j = np.divmod(np.arange(min(step, hi - a) * g), g)
-                i, j = i + a, j + lo
-                ok = (i < j) & (k[i] != k[j])
-                i, j = i[ok], j[ok]
+            # pairs within the largest component need no look: every other class meets all that come after it, and the largest
+            name_, of, held = np.unique(k[lo:hi], return_inverse=True, return_counts=True)
+            main = of == held.argmax()
+            rest, step = np.flatnonzero(~main), max(1, PAIRS // g)
+            for a in range(0, len(rest), step):
+                i, j = (z.reshape(-1) for z in np.meshgrid(rest[a : a + step], np.arange(g), indexing="ij"))
+                ok = (of[i] != of[j]) & (main[j] | (i < j))
+                i, j = i[ok] + lo, j[ok] + lo
                 ok = _within_bounds(n, at, i, j, percent)
                 i, j = i[ok], j[ok]
-                if trial < TRIALS and len(i) > 4 * TRIED * min(step, hi - a):
+                if trial < TRIALS and len(i) > 4 * TRIED * min(step, len(rest) - a):
                     draw = mix((c[i] * 31 + c[j] + trial).astype(np.int64).view(np.uint64))
                     order = np.lexsort((draw, i))
                     start = np.concatenate([[0], np.flatnonzero(np.diff(i[order])) + 1])
@@ -338,8 +342,11 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, bu
                 else:
                     take(i, j)
         x, y, partly = (np.concatenate(z) if z else np.zeros(0, kind) for z, kind in ((xs, np.int64), (ys, np.int64), (more, bool)))
-        _, one = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-        return pa.table({"x": pa.array(x[one]), "y": pa.array(y[one]), "more": pa.array(np.full(len(one), bool(partly.any())))})
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        one = np.ones(len(x), bool)
+        one[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return pa.table({"x": pa.array(x[one]), "y": pa.array(y[one]), "more": pa.array(np.full(int(one.sum()), bool(partly.any())))})
 
     pairs = left.groupBy("bucket").applyInArrow(run, "x long, y long, more boolean")
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "more").groupBy("x", "y").agg(F.max("more").alias("more"))
