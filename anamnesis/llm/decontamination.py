@@ -88,8 +88,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc
         # positional and length bounds, then the words
         count = F.size("grams")
         near = near.withColumn("s", F.col("a") - F.col("o")).where((F.col("i") >= F.col("o")) & (F.col("i") - F.col("o") + F.col("length") <= F.col("n_words")) & (F.col("s") >= 0) & (F.col("s") + count <= F.size("run")))
-        near = near.where(F.expr("run[s].i = i - o AND run[s + size(grams) - 1].i = i - o + size(grams) - 1"))
-        exact = near.where(F.expr("slice(run, s + 1, size(grams)).g = grams"))
+        near = near.where(F.expr("get(run, s).i = i - o AND get(run, s + size(grams) - 1).i = i - o + size(grams) - 1"))
+        exact = near.where(F.expr("slice(run, greatest(s, 0) + 1, size(grams)).g = grams"))
         part = exact.select("row", (F.col("i") - F.col("o")).alias("begin"), F.expr("i - o + length").alias("end"), "items")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:

@@ -210,8 +210,8 @@ def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:
     sign = F.struct(F.xxhash64("text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), F.col("source"))
     repeats = m.documents.where("copy > 1").limit(1).count()
     rows = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(sign)) if repeats else F.lit(1))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_c"), "spans")
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_c"))).select(*docs.columns, "spans")
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_c"), F.col("spans").alias("_spans"))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_c"))).select(*docs.columns, "_spans")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

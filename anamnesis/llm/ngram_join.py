@@ -29,7 +29,7 @@ SKETCH, CHUNKS = 1 << 18, 64
 #: Postings of a bucket, about, and of one list before it is split into blocks.
 BUCKET, HOT = 1_500_000, 50_000
 #: Rounds in which a list with many open pairs tries some of them for each class, and how many; then all are compared.
-TRIALS, TRIED = 5, 3
+TRIALS, TRIED = 1, 4
 #: Pairs that one step looks at.
 PAIRS = 200_000
 #: Bits of a set's parity sketch, up to so many members and beyond.
@@ -258,6 +258,11 @@ def _within_bounds(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (np.minimum(n[i], n[j]) >= need) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
 
 
+def _parity_bound(n: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches differ in no more cells than sets that link may differ in members."""
+    return np.bitwise_count(p[i] ^ p[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+
+
 def pivots(lists: DataFrame, percent: int) -> DataFrame:
     """For each class, the smallest class that heads one of its lists and that it could link with by length and place: x, y."""
 
@@ -280,9 +285,8 @@ def pivots(lists: DataFrame, percent: int) -> DataFrame:
     return lists.select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, buckets: int) -> DataFrame:
-    """Pairs of classes in one list and different components that pass length and positional bounds: x, y, more.
-    A long list with very many offers some for each class while trial < TRIALS, and says so in `more`. labels: c, k."""
+def open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each class of each list: list, c, n, at, p (its parity sketch, folded to 256 cells)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,21 +296,40 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, bu
                     s = slice(lo, lo + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(name[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(at[s].astype(np.int64))], names=["list", "c", "n", "at"])
 
-    every = lists.select("part").mapInArrow(rows, "list long, c long, n long, at long")
-    named = every.join(labels, "c")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, 32), axis=0).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c", "p"])
+
+    small = classes.select("c", "parity").mapInArrow(fold, "c long, p binary")
+    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long").join(small, "c")
+
+
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of lists with classes of several components, with their components k. labels: c, k."""
+    named = rows.join(labels, "c")
     mixed = named.groupBy("list").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("list")
-    left = named.join(mixed, "list", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
+    return written(named.join(mixed, "list", "left_semi"), "left")
+
+
+def open_pairs(left: DataFrame, percent: int, trial: int, buckets: int) -> DataFrame:
+    """Pairs of classes in one list and different components that pass length, positional and parity bounds: x, y, more.
+    A long list with very many offers some for each class while trial < TRIALS, and says so in `more`."""
+    left = left.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
 
     def run(t: pa.Table) -> pa.Table:
         name, c, n, at, k = (t.column(x).to_numpy() for x in ("list", "c", "n", "at", "k"))
+        p = np.frombuffer(b"".join(t.column("p").to_pylist()), np.uint64).reshape(-1, 4)
         order = np.lexsort((c, name))
-        name, c, n, at, k = name[order], c[order], n[order], at[order], k[order]
+        name, c, n, at, k, p = name[order], c[order], n[order], at[order], k[order], p[order]
         edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
         width = np.repeat(np.diff(edge), np.diff(edge))
         xs, ys, more = [], [], []
 
         def take(i, j, partly=False):
             ok = (k[i] != k[j]) & _within_bounds(n, at, i, j, percent)
+            i, j = i[ok], j[ok]
+            ok = _parity_bound(n, p, i, j, percent)
             xs.append(c[i[ok]])
             ys.append(c[j[ok]])
             more.append(np.full(int(ok.sum()), partly))
@@ -332,6 +355,8 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int, trial: int, bu
                 i, j = i[ok] + lo, j[ok] + lo
                 ok = _within_bounds(n, at, i, j, percent)
                 i, j = i[ok], j[ok]
+                ok = _parity_bound(n, p, i, j, percent)
+                i, j = i[ok], j[ok]
                 if trial < TRIALS and len(i) > 4 * TRIED * min(step, len(rest) - a):
                     draw = mix((c[i] * 31 + c[j] + trial).astype(np.int64).view(np.uint64))
                     order = np.lexsort((draw, i))
@@ -472,9 +497,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     tried = written(pivots(lists, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tried")
     whole = classes.select("c", F.col("c").alias("k"))
     links = compare(docs, classes, tried, percent, id_col, text_col).where("linked")
+    left = open_lists(lists, classes)
     for trial in range(TRIALS + 1):
         whole = merged(whole, links)
-        fresh = written(open_pairs(lists, whole, percent, trial, buckets).join(tried, ["x", "y"], "left_anti"), "open")
+        left = still_open(left.select("list", "c", "n", "at", "p"), whole)
+        fresh = written(open_pairs(left, percent, trial, buckets).join(tried, ["x", "y"], "left_anti"), "open")
         n, partly = fresh.agg(F.count("*"), F.max("more")).collect()[0]
         if not n and (trial == 0 or not sampled):
             break
