@@ -175,7 +175,8 @@ class Mixture:
 
     def taken(self) -> DataFrame:
         """What the mix takes: doc_id, copy, shard, slot, turn, skip, words; blocks and slots are joined by index."""
-        joined = self.pieces().join(self.slots, ["source_index", "block"])
+        # the slots' size is unknown to the planner, which would broadcast them
+        joined = self.pieces().join(self.slots.hint("merge"), ["source_index", "block"])
         got = F.least(F.col("end"), F.col("words")) - F.col("begin")
         return joined.select("doc_id", "copy", "shard", "slot", "turn", "skip", got.alias("words")).where("words > 0")
 
