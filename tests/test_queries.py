@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from anamnesis import upkeep_queries  # noqa: F401
 from anamnesis.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
