@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import analytics, graph, lifecycle, upkeep
-from .queries import NOW, PAIRS_SQL, cos_sql, mem, query
+from .queries import NOW, PAIRS_SQL, TOPIC_SQL, cos_sql, mem, query
 from .sources import tables as T
 from .sources.scratch import written
 
@@ -71,7 +71,7 @@ def calibrated_thresholds(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query()
+@query(f"AND {TOPIC_SQL} SELECT source, target, n - 1 + CASE WHEN n > 1 THEN 2 ELSE 0 END AS n FROM tr WHERE n > 1 -- t ")
 def reinforced_transitions(spark, d):
     tr = analytics.transitions(analytics.topics(T.turns(spark, d)))
     return upkeep.reinforced(tr, tr.where("n > 1"))
@@ -143,7 +143,8 @@ def section_slugs(spark, d):
     return T.table(spark, d, "part").select("p_partkey", text.slug(F.concat("p_name", F.lit(" / "), "p_type"), 12).alias("slug"))
 
 
-@query()
+@query(r"""AND w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda s: strlen(s) > 3)) AS w FROM m)
+SELECT y.id, round(CASE WHEN len(y.w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(y.w, x.w)) / len(y.w) END, 6) AS covered FROM w x JOIN w y ON y.id = x.id + 1""")
 def entailment(spark, d):
     m = mem(spark, d)
     both = m.select((F.col("id") + 1).alias("id"), F.col("content").alias("c")).join(m.select("id", "content"), "id")
