@@ -24,8 +24,10 @@ SAMPLE = 8000
 PART_ROWS, PARTS, BLOCK_ROWS = 1500, 512, 20_000
 NEIGHBOURS = 12
 HIDDEN = 128
-#: Recall on the sample's held-out rows that the number of probed parts is chosen for.
-RECALL = 0.985
+#: Recall that the number of probed parts is chosen for: on the sample's held-out rows by mass alone, then on so many
+#: queries at most, which the router has not seen, against their exact neighbours among all rows.
+RECALL, CHECKS = 0.985, 200
+MASSES = (0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 0.9999, 2.0)  # 2.0: all parts
 
 
 @dataclass
@@ -135,7 +137,7 @@ def fit(x: np.ndarray, parts: int, k: int, seed: int = 0) -> Router:
     rng = np.random.default_rng(seed)
     if parts == 1 or len(x) < 4 * parts:
         d = x.shape[1]
-        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 2.0)
+        return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), MASSES[-1])
     graph = neighbour_graph(x, NEIGHBOURS)
     label = balanced_parts(x, graph, parts, rng)
     target = np.zeros((len(x), parts))
@@ -146,16 +148,18 @@ def fit(x: np.ndarray, parts: int, k: int, seed: int = 0) -> Router:
     router = train(x[~held], target[~held], rng)
     p = router.probabilities(x)
     own = p.argmax(axis=1)
-    sizes = np.bincount(own, minlength=parts)
-    near = neighbour_graph(x, k)[held]
-    for mass in (0.5, 0.7, 0.8, 0.9, 0.95, 0.97, 0.98, 0.99, 0.995, 0.999, 0.9999, 2.0):
-        router.mass = mass
-        found = np.take_along_axis(probes(p[held], mass, sizes, 4 * k), own[near], 1)
-        if found.mean() >= RECALL:
-            break
+    # without the floor of rows: the index's parts hold more rows than the sample's, so that fewer of them reach it
+    router.mass = covering(p[held], own[neighbour_graph(x, k)[held]].tolist(), np.bincount(own, minlength=parts), 0, MASSES[0])
     return router
 
 
+def covering(p: np.ndarray, near: list[list[int]], sizes: np.ndarray, least: int, lowest: float) -> float:
+    """The least mass from `lowest` by which rows of probabilities `p` reach RECALL of the parts in `near`, those of their neighbours."""
+    who = np.repeat(np.arange(len(near)), [len(n) for n in near])
+    part = np.array([i for n in near for i in n], np.int64)
+    return next((m for m in MASSES if m >= lowest and (not len(who) or probes(p, m, sizes, least)[who, part].mean() >= RECALL)), MASSES[-1])
+
+
 def usable(column: str) -> Column:
     """Neither null nor empty nor zero, and without null or non-finite components."""
     c = F.col(column)
@@ -188,8 +192,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     asked = rows.where("asks").select("id", "h1", "h2").distinct()
     total = distinct.count()
     parts = int(min(PARTS, max(1, total // PART_ROWS)))
+    asking = asked.select("h1", "h2").distinct()
+    # the first by their hashes, which say nothing of the vectors
+    checks = distinct.join(asking, ["h1", "h2"], "left_semi").select("h1", "h2", "v").orderBy("h1", "h2").limit(CHECKS).toPandas() if parts > 1 else None
     share = min(1.0, 1.0 * SAMPLE / max(1, total))
-    sample = distinct.where(F.pmod(F.xxhash64("h1", "h2", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("h1", "h2").select("v").toPandas() if parts > 1 else None
+    sample = distinct.where(F.pmod(F.xxhash64("h1", "h2", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("h1", "h2").select("h1", "h2", "v").toPandas() if parts > 1 else None
+    if parts > 1:
+        seen = set(zip(checks.h1, checks.h2))
+        sample = sample[[key not in seen for key in zip(sample.h1, sample.h2)]]
     router = fit(np.array(sample.v.tolist(), np.float64) if parts > 1 else np.zeros((1, d)), parts, k, seed)
     shared = spark.sparkContext.broadcast(router)
 
@@ -204,19 +214,47 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     counts = {r[0]: r[1] for r in index.groupBy("part").count().collect()}  # a row for each part
     sizes = np.array([counts.get(i, 0) for i in range(len(router.b2))])
     split = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    least = 4 * (k + 1)
+    mass = router.mass
+    if len(sizes) > 1 and len(checks):
+        asks = np.array(checks.v.tolist(), np.float64)
+        sent = spark.sparkContext.broadcast(asks)
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The k + 1 best rows of each check in these batches: check, less, h1, h2, part."""
+            best = None
+            for b in batches:
+                for lo in range(0, b.num_rows, 4096):
+                    c = b.slice(lo, 4096)
+                    s = -(sent.value @ _matrix(c.column(2), d).T)
+                    more = [s, *[np.broadcast_to(c.column(i).to_numpy(zero_copy_only=False), s.shape) for i in (0, 1, 3)]]
+                    best = more if best is None else [np.concatenate(x, axis=1) for x in zip(best, more)]
+                    if best[0].shape[1] > k + 1:
+                        top = np.argpartition(best[0], k, axis=1)[:, : k + 1]
+                        best = [np.take_along_axis(x, top, 1) for x in best]
+            if best is not None:
+                who = np.repeat(np.arange(len(best[0]), dtype=np.int32), best[0].shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(who), *[pa.array(np.ascontiguousarray(x).reshape(-1)) for x in best]], names=["check", "less", "h1", "h2", "part"])
+
+        found = index.select("h1", "h2", "v", "part").mapInArrow(nearest, "check int, less double, h1 long, h2 long, part int")
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("check").orderBy("less", "h1", "h2"))).where(F.col("n") <= k + 1)
+        near: list[list[int]] = [[] for _ in asks]
+        for r in found.orderBy("check", "n").collect():
+            if (r.h1, r.h2) != (checks.h1[r.check], checks.h2[r.check]) and len(near[r.check]) < k:
+                near[r.check].append(r.part)
+        mass = covering(router.probabilities(asks), near, sizes, least, mass)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 c = b.slice(lo, 2048)
                 x = _matrix(c.column(2), d)
-                who, part = np.nonzero(probes(shared.value.probabilities(x), shared.value.mass, sizes, 4 * (k + 1)))
+                who, part = np.nonzero(probes(shared.value.probabilities(x), mass, sizes, least))
                 times = split[part]
                 who, part = np.repeat(who, times), np.repeat(part, times)
                 block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(who)), c.column(1).take(pa.array(who)), c.column(2).take(pa.array(who)), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32))], names=["h1", "h2", "v", "part", "block"])
 
-    asking = asked.select("h1", "h2").distinct()
     wanted = index.join(asking, ["h1", "h2"], "left_semi").select("h1", "h2", "v").mapInArrow(route, f"h1 long, h2 long, v {form}, part int, block int")
     blocks_of = F.element_at(F.array(*[F.lit(int(s)) for s in split]), F.col("part") + 1)
     held = index.withColumn("block", F.pmod(F.xxhash64("h2", "h1"), blocks_of).cast("int"))
@@ -230,9 +268,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             for lo in range(0, len(q), 512):
                 s = q[lo : lo + 512] @ x.T
                 top = np.argpartition(-s, k, axis=1)[:, : k + 1] if s.shape[1] > k + 1 else np.tile(np.arange(s.shape[1]), (len(s), 1))
-                least = np.take_along_axis(s, top, 1).min(axis=1)
+                last = np.take_along_axis(s, top, 1).min(axis=1)
                 for i, row in enumerate(s):
-                    at = np.flatnonzero(row >= least[i])  # with all ties of the last
+                    at = np.flatnonzero(row >= last[i])  # with all ties of the last
                     at = at[np.lexsort((first[at], -row[at]))][: k + 1]
                     out["found"].append(sorted(((-row[j], n) for j in at for n in ids[j]))[: k + 1])
             out["h1"], out["h2"] = left.column("h1").to_pylist(), left.column("h2").to_pylist()

@@ -168,6 +168,18 @@ def test_ann_recall(spark):
     assert few.count() == 6
 
 
+def test_ann_recall_where_parts_outgrow_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 300)
+    monkeypatch.setattr(ann, "SAMPLE", 600)  # 15 rows of each of 40 parts: a floor of 400 rows probes 27 of these, but 2 of the index
+    x = np.random.default_rng(3).standard_normal((12_000, 4))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 50 == 0, k=100).toPandas()
+    s = x[::50] @ x.T
+    s[np.arange(240), np.arange(0, 12_000, 50)] = -np.inf
+    exact = {(50 * i, j) for i, row in enumerate(s) for j in np.argsort(-row)[:100].tolist()}
+    assert len(exact & set(zip(got.query_id, got.vec_id))) >= 0.97 * len(exact)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = TEXTS + [prose(rng, rng.randint(0, 400)) for _ in range(60)]
