@@ -528,20 +528,19 @@ def owner_pairs(spark, d):
     return analytics.owner_pairs(mem(spark, d))
 
 
-def context_hits(spark, d):
-    m = mem(spark, d)
-    return m.where("id % 9 = 0").orderBy(F.desc("salience"), "id").limit(40).select("id", F.col("salience").alias("score"))
+def context_hits(m):
+    return m.orderBy(F.desc("salience"), "id").limit(40).select("id", F.col("salience").alias("score"))
 
 
 @query()
 def context_window(spark, d):
-    return analytics.packed(context_hits(spark, d).join(mem(spark, d).select("id", "content"), "id"), 4096)
+    return analytics.packed(context_hits(mem(spark, d)).join(mem(spark, d).select("id", "content"), "id"), 4096)
 
 
 @query("""AND h AS (SELECT id, memory_type, salience, salience AS score FROM m WHERE id % 9 = 0 ORDER BY salience DESC, id LIMIT 40)
 SELECT id, CASE WHEN memory_type IN ('anti_pattern', 'correction') THEN 'opening' WHEN score >= 0.8 AND salience >= 0.7 THEN 'critical' WHEN score >= 0.5 THEN 'primary' WHEN score >= 0.2 THEN 'supporting' ELSE 'closing' END AS zone FROM h""")
 def context_zones(spark, d):
-    rows = context_hits(spark, d).join(mem(spark, d), "id")
+    rows = context_hits(mem(spark, d).where("id % 9 = 0")).join(mem(spark, d), "id")  # every ninth memory, as its SQL has it
     return rows.select("id", analytics.zone(F.col("memory_type"), F.col("score"), F.col("salience")).alias("zone"))
 
 
