@@ -616,7 +616,7 @@ def knowledge_gaps(spark, d):
 @query()
 def entity_resolution(spark, d):
     names = T.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    aliases = names.orderBy("name").limit(50).select(F.lower("name").alias("alias"), F.col("name").alias("canonical"), F.lit(1.0).alias("confidence"))
+    aliases = names.groupBy(text.normal(F.col("name")).alias("alias")).agg(F.min("name").alias("canonical"), F.lit(1.0).alias("confidence"))
     return analytics.resolved_names(names, aliases)
 
 
