@@ -180,6 +180,20 @@ def test_ann_recall_where_parts_outgrow_the_sample(spark, monkeypatch):
     assert len(exact & set(zip(got.query_id, got.vec_id))) >= 0.97 * len(exact)
 
 
+def test_ann_recall_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    fit, parts = ann.fit, []
+    monkeypatch.setattr(ann, "fit", lambda *a: parts.append(len((router := fit(*a)).b2)) or router)
+    x = np.random.default_rng(4).standard_normal((6000, 16))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 50 == 0, k=20).toPandas()
+    assert parts == [60]
+    s = x[::50] @ x.T
+    s[np.arange(120), np.arange(0, 6000, 50)] = -np.inf
+    exact = {(50 * i, j) for i, row in enumerate(s) for j in np.argsort(-row)[:20].tolist()}
+    assert len(exact & set(zip(got.query_id, got.vec_id))) >= 0.9 * len(exact)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = TEXTS + [prose(rng, rng.randint(0, 400)) for _ in range(60)]
