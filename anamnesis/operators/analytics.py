@@ -1,4 +1,5 @@
-"""Aggregates, context assembly, conversation analytics and injection (A1-A12, X1-X13, K1-K66, T1-T16, I1-I7)."""
+"""Aggregates, context assembly, conversation analytics and injection (of A1-A12, X1-X13,
+K1-K66, T1-T16, I1-I7; the README lists what is known to be missing)."""
 
 from __future__ import annotations
 
@@ -99,7 +100,7 @@ def diversified(hits: DataFrame, m: DataFrame, k: int, lam: float) -> DataFrame:
 
 
 def topics(t: DataFrame) -> DataFrame:
-    """Topic of each user turn: its first four words, normalised."""
+    """Topic of each user turn: its first two words, normalised, as TOPIC_SQL has it (the reference takes 100 characters)."""
     return t.where("role = 'user'").select("conv_id", "turn", F.lower(F.array_join(F.slice(text.words(F.col("text")), 1, 2), " ")).alias("topic"))
 
 

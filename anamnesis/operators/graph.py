@@ -1,4 +1,4 @@
-"""Graph operators over edges (source, target, edge_type, weight, created_at, valid_from, valid_until) (G1-G34)."""
+"""Graph operators over edges (source, target, edge_type, weight, created_at, valid_from, valid_until) (of G1-G34, without G2)."""
 
 from __future__ import annotations
 

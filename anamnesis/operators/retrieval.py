@@ -1,4 +1,4 @@
-"""Vector, text and hybrid retrieval (R1-R39)."""
+"""Vector, text and hybrid retrieval (of R1-R37)."""
 
 from __future__ import annotations
 
