@@ -118,9 +118,8 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
                     yield pa.RecordBatch.from_arrays([pa.array([l] * len(name), pa.string()), pa.array(name.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = rows.where(draw < most).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counted.where("n > 1").selectExpr("lang", "n", "gram")
     # the sample bounds the rows; each language keeps its GRAMS most frequent, ties by name
-    top = ranked.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS).toPandas()
+    top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS).toPandas()
     found = {}
     for l in languages:
         part = top[top.lang == l]

@@ -251,6 +251,13 @@ def test_language(spark):
     assert language.predict(docs, blank).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_of_grams_seen_once(spark):
+    docs = table(spark, ["the house and the thing with the house and the thing", "zwölf große boxkämpfer"], lang=["en", "sv"])
+    model = language.fit(docs, ann.F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language.predict(table(spark, ["the house", "boxkämpfer"]), model).collect()}
+    assert got == {0: "en", 1: "sv"}
+
+
 def test_toxicity_tolerates_gaps(spark):
     rng = random.Random(8)
     bad = "worthless idiot pathetic disgusting".split()
