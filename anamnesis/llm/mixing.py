@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, words, written
+from .common import blocks, fresh, words, written
 from .feistel import invert, permute
 
 BLOCK_WORDS = 256
@@ -210,9 +210,10 @@ def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:
     spans = m.taken().groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("turn", "skip", "words"))).alias("spans"))
     sign = F.struct(F.xxhash64("text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), F.col("source"))
     repeats = m.documents.where("copy > 1").limit(1).count()
-    rows = docs.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(sign)) if repeats else F.lit(1))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_c"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_c"))).select(*docs.columns, "_spans")
+    own_copy, its_id, its_copy, its_spans = (fresh(docs.columns, x) for x in ("_copy", "_its_id", "_its_copy", "_its_spans"))
+    rows = docs.withColumn(own_copy, F.row_number().over(Window.partitionBy("doc_id").orderBy(sign)) if repeats else F.lit(1))
+    spans = spans.select(F.col("doc_id").alias(its_id), F.col("copy").alias(its_copy), F.col("spans").alias(its_spans))
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(own_copy) == F.col(its_copy))).select(*docs.columns, its_spans)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
