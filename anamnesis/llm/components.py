@@ -31,5 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(floor.select("u", F.col("m").alias("v")))
         now = written(small.where("u > v").distinct(), "edges")
+    else:
+        raise RuntimeError(f"no stars after {ROUNDS} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

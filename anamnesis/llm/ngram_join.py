@@ -1,14 +1,16 @@
-"""n-gram Jaccard join by rare-first prefix filtering, verified once per pair.
+"""n-gram Jaccard join by rare-first prefix filtering, verified exactly.
 
 Texts with equal sets are one class from the start. Over all documents a fixed-size counting sketch tells rare shingles
 from frequent ones, which gives one order of all shingles, rarest first. Two sets that link share a shingle of their
 prefixes in that order; prefixes are joined by shingle, in packed arrays. The pairs that this join suggests pass length,
 positional and suffix bounds before both sets are brought together and intersected.
 
-Only the components are returned, so pairs that are known to be in one component need no comparing: first each class is
-compared with one pivot of its lists; lists whose members are still in several components go through further rounds,
-at last with all their remaining pairs. No list is cut short; a list of a very frequent shingle is split into
-blocks, and every two blocks meet.
+Only the components are returned, so pairs that are known to be in one component need no comparing, and no step hands
+on all pairs of a list. Classes of long lists are first compared with one pivot of theirs. Then each bucket of lists
+looks at all its open pairs through the bounds and hands on a spanning forest of them, likeliest first; these are
+compared. What is still open after that falls into families, again found from spanning forests; the sets of a family are
+brought together and all its open pairs intersected there, large families by pairs of blocks. Intersections are counted
+on the full 64-bit hashes of shingles; equal sets are told by 128 bits. No list is cut short.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ from .components import components
 N = 5
 #: Counters of the sketch of document frequencies, of 4 bytes; chunks in which partial sketches are summed.
 SKETCH, CHUNKS = 1 << 18, 64
-#: Postings of a bucket, about, and of one list before it is split into blocks.
+#: Postings of a bucket, about, and of one list before it is split into blocks, by the sketch's estimate.
 BUCKET, HOT = 1_500_000, 50_000
-#: Rounds in which a list with many open pairs tries some of them for each class, and how many; then all are compared.
-TRIALS, TRIED = 1, 4
+#: Lists of more classes first try a pivot, and are split into pairs of blocks of half as many by their measured length.
+LONG = 4096
+#: Lists of up to so many classes of a bucket are looked at together.
+SHORT = 64
 #: Pairs that one step looks at.
 PAIRS = 200_000
-#: Bits of a set's parity sketch, up to so many members and beyond.
-PARITY = ((1000, 1024), (1 << 62, 4096))
+#: Cells of a set's parity sketch: at least so many, and two for each member.
+CELLS = 512
+#: Members of the sets of a family that one task holds, about.
+FAMILY = 4_000_000
 #: Bits of the filter that tells which texts a round needs; more classes only make it let more pass.
 BLOOM = 1 << 24
 
@@ -83,23 +89,51 @@ def names_of(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def keys_of(c: np.ndarray, d: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """One key for each set: its first name, or, where several sets share that, a mixture of both names."""
+    return np.where(np.isin(c, clashing), mix(c ^ mix(d)), c)
+
+
 def parities_of(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """Of each set, whether each of its sketch's cells has an odd number of members: sets differ in at least as many
     members as their sketches differ in cells."""
     out = []
     for i in range(len(bounds) - 1):
         members = h[bounds[i] : bounds[i + 1]]
-        bits = next(b for most, b in PARITY if len(members) <= most)
-        out.append(np.packbits(np.bincount(((members >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes())
+        cells = max(CELLS, 1 << (2 * len(members) - 1).bit_length()) if len(members) else CELLS
+        out.append(np.packbits(np.bincount(((members >> np.uint64(8)) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1).tobytes())
     return out
 
 
-def cells_apart(a: bytes, b: bytes) -> int:
-    """Cells in which two sketches differ; the longer one is folded."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+class Sketches:
+    """Parity sketches of rows, folded to each length at which rows of similar sizes may have to be compared."""
+
+    def __init__(self, parts: list[bytes], percent: int):
+        length = np.array([len(p) for p in parts], np.int64)
+        self.level = np.log2(np.maximum(length, 1)).astype(np.int64)
+        reach = int(np.ceil(np.log2(100 / percent))) + 1
+        self.at, self.bits = {}, {}
+        for lv in np.unique(self.level).tolist():
+            rows = np.flatnonzero((self.level >= lv) & (self.level <= lv + reach))
+            self.at[lv] = np.zeros(len(parts), np.int64)
+            self.at[lv][rows] = np.arange(len(rows))
+            self.bits[lv] = np.empty((len(rows), (1 << lv) // 8), np.uint64)
+            for own in np.unique(self.level[rows]).tolist():
+                some = np.flatnonzero(self.level[rows] == own)
+                raw = np.frombuffer(b"".join(parts[i] for i in rows[some]), np.uint64).reshape(len(some), -1, (1 << lv) // 8)
+                self.bits[lv][some] = np.bitwise_xor.reduce(raw, axis=1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Cells in which the sketches of the rows i and j differ."""
+        out = np.zeros(len(i), np.int64)
+        level = np.minimum(self.level[i], self.level[j])
+        for lv in np.unique(level).tolist():
+            m = np.flatnonzero(level == lv)
+            at, bits = self.at[lv], self.bits[lv]
+            for lo in range(0, len(m), PAIRS):
+                some = m[lo : lo + PAIRS]
+                out[some] = np.bitwise_count(bits[at[i[some]]] ^ bits[at[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -156,7 +190,7 @@ def rarity(profiled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(65535, np.log2(np.maximum(count, 1)) * 1500).astype(np.uint16), excess
 
 
-def postings(docs: DataFrame, ranks: np.ndarray, excess: np.ndarray, buckets: int, percent: int, text_col: str) -> DataFrame:
+def postings(docs: DataFrame, ranks: np.ndarray, excess: np.ndarray, clashing: np.ndarray, buckets: int, percent: int, text_col: str) -> DataFrame:
     """Prefixes, packed: a row for each task, flush and bucket. Equal sets of a task are sent once."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, excess))
 
@@ -181,7 +215,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, excess: np.ndarray, buckets: in
 
         for batch in batches:
             for lo, hi, h, bounds in sets_of(batch.column(0)):
-                c, _ = names_of(h, bounds)
+                c = keys_of(*names_of(h, bounds), clashing)
                 slot = (h & np.uint64(SKETCH - 1)).astype(np.int64)
                 key = rank[slot].astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
                 for i in range(hi - lo):
@@ -227,8 +261,8 @@ def _unpack(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def shared_lists(packed: DataFrame) -> DataFrame:
-    """The lists with two classes or more: bucket, and packed list, c, n, at. Lists of a bucket with the same classes
-    are kept once, with the earliest places: only there can a pair's first common shingle be."""
+    """A row for each list with two classes or more: width, and packed list, c, n, at. Lists with the same classes are
+    kept once, with the earliest places: only there can a pair's first common shingle be."""
 
     def run(t: pa.Table) -> pa.Table:
         lists, c, n, at = _unpack(t.column("part").to_pylist())
@@ -239,17 +273,21 @@ def shared_lists(packed: DataFrame) -> DataFrame:
         lists, c, n, at = (x[~same] for x in (lists, c, n, at))
         edge = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1], [True]]))
         width = np.diff(edge)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c ^ np.uint64(0x27BB2EE687B0B0FD)))])
-        sign = total[edge[1:]] - total[edge[:-1]]
+        signs = []
+        for salt in (0x27BB2EE687B0B0FD, 0x6C62272E07BB0143):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(c ^ np.uint64(salt)))])
+            signs.append(total[edge[1:]] - total[edge[:-1]])
         place = np.add.reduceat(at.astype(np.int64), edge[:-1])
         many = np.flatnonzero(width > 1)
-        many = many[np.lexsort((place[many], sign[many]))]
-        kept = many[np.concatenate([[True], sign[many][1:] != sign[many][:-1]])] if len(many) else many
-        rows = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in kept]) if len(kept) else np.zeros(0, np.int64)
-        part = b"".join(x[rows].tobytes() for x in (lists, c, n, at))
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "part": pa.array([part], pa.binary())})
+        many = many[np.lexsort((place[many], signs[1][many], signs[0][many]))]
+        fresh = np.ones(len(many), bool)
+        fresh[1:] = (signs[0][many][1:] != signs[0][many][:-1]) | (signs[1][many][1:] != signs[1][many][:-1])
+        kept = many[fresh]
+        parts = [b"".join(x[edge[k] : edge[k + 1]].tobytes() for x in (lists, c, n, at)) for k in kept.tolist()]
+        return pa.table({"s": pa.array(signs[0][kept].view(np.int64)), "t": pa.array(signs[1][kept].view(np.int64)), "width": pa.array(width[kept]), "place": pa.array(place[kept]), "part": pa.array(parts, pa.binary())})
 
-    return written(packed.groupBy("bucket").applyInArrow(run, "bucket int, part binary").where("length(part) > 0"), "lists")
+    each = packed.groupBy("bucket").applyInArrow(run, "s long, t long, width long, place long, part binary")
+    return written(each.groupBy("s", "t", "width").agg(F.min_by("part", "place").alias("part")).select("width", "part"), "lists")
 
 
 def _within_bounds(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -258,51 +296,49 @@ def _within_bounds(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray,
     return (np.minimum(n[i], n[j]) >= need) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= need)
 
 
-def _parity_bound(n: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sketches differ in no more cells than sets that link may differ in members."""
-    return np.bitwise_count(p[i] ^ p[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
-
-
 def pivots(lists: DataFrame, percent: int) -> DataFrame:
-    """For each class, the smallest class that heads one of its lists and that it could link with by length and place: x, y."""
+    """For each class of a long list, the smallest class that heads one of these and that it could link with by length and place: x, y."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                name, c, n, at = _unpack([part])
-                edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
-                first = np.repeat(edge[:-1], np.diff(edge))
-                may = np.flatnonzero(_within_bounds(n.astype(np.int64), at.astype(np.int64), np.arange(len(n)), first, percent))
-                order = may[np.lexsort((c[first[may]], c[may]))]
-                x, y = c[order], c[first[order]]
-                x, y = x[x != y], y[x != y]
-                one = np.ones(len(x), bool)
-                np.not_equal(x[1:], x[:-1], out=one[1:])
-                x, y = x[one], y[one]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
+                _, c, n, at = _unpack([part])
+                n, at, first = n.astype(np.int64), at.astype(np.int64), np.zeros(len(n), np.int64)
+                may = np.flatnonzero(_within_bounds(n, at, np.arange(len(n)), first, percent) & (c != c[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(c[may].view(np.int64)), pa.array(np.full(len(may), c[0]).view(np.int64))], names=["x", "y"])
 
     # unsigned order is lost in the signed column; any fixed choice will do
-    return lists.select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    return lists.where(F.col("width") > LONG).select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
 
 
 def open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """A row for each class of each list: list, c, n, at, p (its parity sketch, folded to 256 cells)."""
+    """A row for each class of each list: list, c, n, at, p (its parity sketch). A long list becomes a list for every two of its blocks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for part in batch.column(0).to_pylist():
                 name, c, n, at = _unpack([part])
-                for lo in range(0, len(name), 100_000):
-                    s = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(name[s].view(np.int64)), pa.array(c[s].view(np.int64)), pa.array(n[s].astype(np.int64)), pa.array(at[s].astype(np.int64))], names=["list", "c", "n", "at"])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, 32), axis=0).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c", "p"])
-
-    small = classes.select("c", "parity").mapInArrow(fold, "c long, p binary")
-    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long").join(small, "c")
+                split = -(-2 * len(c) // LONG)
+                if len(c) > LONG:
+                    own = c % np.uint64(split)
+                    for other in range(split):
+                        a, b = np.minimum(own, np.uint64(other)), np.maximum(own, np.uint64(other))
+                        yield flat([(mix(name + a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)), c, n, at)])
+                    continue
+                held.append((name, c, n, at))
+                size += len(c)
+                if size > 50_000:
+                    yield flat(held)
+                    held, size = [], 0
+            if held:
+                yield flat(held)
+
+    def flat(held):
+        name, c, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(at.astype(np.int64))], names=["list", "c", "n", "at"])
+
+    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long").join(classes.select("c", F.col("parity").alias("p")), "c")
 
 
 def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -312,94 +348,98 @@ def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(mixed, "list", "left_semi"), "left")
 
 
-def open_pairs(left: DataFrame, percent: int, trial: int, buckets: int) -> DataFrame:
-    """Pairs of classes in one list and different components that pass length, positional and parity bounds: x, y, more.
-    A long list with very many offers some for each class while trial < TRIALS, and says so in `more`."""
+class Forest:
+    """Sets joined by edges; only edges that join two of them are kept."""
+
+    def __init__(self, n: int):
+        self.up, self.kept = list(range(n)), []
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def add(self, a: list[int], b: list[int]) -> int:
+        before = len(self.kept)
+        for x, y in zip(a, b, strict=True):
+            r, s = self.root(x), self.root(y)
+            if r != s:
+                self.up[max(r, s)] = min(r, s)
+                self.kept.append((x, y))
+        return len(self.kept) - before
+
+
+def forest(left: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Of the pairs of classes in one list and different components that pass length, positional and parity bounds, a
+    spanning forest for each bucket, the likeliest links first: x, y. At most one row fewer than a bucket's classes."""
     left = left.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
 
     def run(t: pa.Table) -> pa.Table:
         name, c, n, at, k = (t.column(x).to_numpy() for x in ("list", "c", "n", "at", "k"))
-        p = np.frombuffer(b"".join(t.column("p").to_pylist()), np.uint64).reshape(-1, 4)
         order = np.lexsort((c, name))
-        name, c, n, at, k, p = name[order], c[order], n[order], at[order], k[order], p[order]
+        name, c, n, at, k = name[order], c[order], n[order], at[order], k[order]
+        parts = t.column("p").to_pylist()
+        sketches = Sketches([parts[i] for i in order.tolist()], percent)
+        names, who = np.unique(c, return_inverse=True)
+        joined = Forest(len(names))
         edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
         width = np.repeat(np.diff(edge), np.diff(edge))
-        xs, ys, more = [], [], []
 
-        def take(i, j, partly=False):
+        def passing(i, j):
+            """Those pairs that may link, and how far apart they are: cells that differ, as a share of what is allowed."""
             ok = (k[i] != k[j]) & _within_bounds(n, at, i, j, percent)
             i, j = i[ok], j[ok]
-            ok = _parity_bound(n, p, i, j, percent)
-            xs.append(c[i[ok]])
-            ys.append(c[j[ok]])
-            more.append(np.full(int(ok.sum()), partly))
+            spare = n[i] + n[j] - 2 * least_overlap(n[i], n[j], percent)
+            far = sketches.apart(i, j)
+            ok = far <= spare
+            return i[ok], j[ok], far[ok] / np.maximum(spare[ok], 1)
 
-        short = np.flatnonzero(width <= 64)
-        for d in range(1, 64):  # lists of up to 64 classes, all together
+        short, found = np.flatnonzero(width <= SHORT), []
+        for d in range(1, SHORT):  # short lists, all together
             i = short[short + d < len(name)]
             i = i[name[i] == name[i + d]]
             if not len(i):
                 break
-            take(i, i + d)
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            g = hi - lo
-            if g <= 64:
-                continue
-            # pairs within the largest component need no look: every other class meets all that come after it, and the largest
-            name_, of, held = np.unique(k[lo:hi], return_inverse=True, return_counts=True)
-            main = of == held.argmax()
-            rest, step = np.flatnonzero(~main), max(1, PAIRS // g)
-            for a in range(0, len(rest), step):
-                i, j = (z.reshape(-1) for z in np.meshgrid(rest[a : a + step], np.arange(g), indexing="ij"))
-                ok = (of[i] != of[j]) & (main[j] | (i < j))
-                i, j = i[ok] + lo, j[ok] + lo
-                ok = _within_bounds(n, at, i, j, percent)
-                i, j = i[ok], j[ok]
-                ok = _parity_bound(n, p, i, j, percent)
-                i, j = i[ok], j[ok]
-                if trial < TRIALS and len(i) > 4 * TRIED * min(step, len(rest) - a):
-                    draw = mix((c[i] * 31 + c[j] + trial).astype(np.int64).view(np.uint64))
-                    order = np.lexsort((draw, i))
-                    start = np.concatenate([[0], np.flatnonzero(np.diff(i[order])) + 1])
-                    nth = np.arange(len(i)) - np.repeat(start, np.diff(np.concatenate([start, [len(i)]])))
-                    pick = order[nth < TRIED]
-                    take(i[pick], j[pick], True)
-                else:
-                    take(i, j)
-        x, y, partly = (np.concatenate(z) if z else np.zeros(0, kind) for z, kind in ((xs, np.int64), (ys, np.int64), (more, bool)))
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        one = np.ones(len(x), bool)
-        one[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        return pa.table({"x": pa.array(x[one]), "y": pa.array(y[one]), "more": pa.array(np.full(int(one.sum()), bool(partly.any())))})
-
-    pairs = left.groupBy("bucket").applyInArrow(run, "x long, y long, more boolean")
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "more").groupBy("x", "y").agg(F.max("more").alias("more"))
-
-
-def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose parity sketches let them link: x, y."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            spare = a + b - 2 * least_overlap(a, b, percent)
-            ok = [cells_apart(p, q) <= s for p, q, s in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), spare.tolist(), strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
-
-    one = classes.select(F.col("c").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
-    two = classes.select(F.col("c").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "px", "ny", "py").mapInArrow(run, "x long, y long")
-
-
-def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Intersects the sets of each pair that passes the sketches: x, y, linked. classes: c, n, parity, id of one document."""
-    spark, owners = docs.sparkSession, classes.select("c", "id")
-    pairs = written(possible(pairs, classes, percent), "possible")
-    crowd = pairs.groupBy("y").agg(F.floor(F.count("*") / 256).alias("salts"))
-    pairs = written(pairs.join(crowd, "y").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts") + 1)).select("x", "y", "salt"), "pairs")
-    asks = pairs.select(F.col("x").alias("c"), F.col("y").alias("to"), "salt", F.lit(False).alias("head")).union(pairs.select(F.col("y"), F.col("y"), "salt", F.lit(True)).distinct())
-    wanted = written(asks.join(owners, "c").select("c", "to", "salt", "head", "id"), "wanted")
+            found.append(passing(i, i + d))
+        if found:
+            i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(far, kind="stable")
+            pair = who[i[order]] * len(names) + who[j[order]]
+            _, first = np.unique(pair, return_index=True)
+            order = order[np.sort(first)]
+            joined.add(who[i[order]].tolist(), who[j[order]].tolist())
+        size = np.diff(edge)
+        for at_list in sorted(np.flatnonzero(size > SHORT).tolist(), key=lambda e: -size[e]):
+            lo, hi = int(edge[at_list]), int(edge[at_list + 1])
+            while True:  # each part joins the one nearest to it, until none is near enough
+                root = np.array([joined.root(x) for x in who[lo:hi].tolist()])
+                _, of, held = np.unique(root, return_inverse=True, return_counts=True)
+                rest, step = np.flatnonzero(of != held.argmax()), max(1, PAIRS // (hi - lo))
+                best = []
+                for a in range(0, len(rest), step):
+                    i, j = (z.reshape(-1) for z in np.meshgrid(rest[a : a + step], np.arange(hi - lo), indexing="ij"))
+                    ok = of[i] != of[j]
+                    i, j, far = passing(i[ok] + lo, j[ok] + lo)
+                    order = np.lexsort((far, i))
+                    first = np.concatenate([[True], i[order][1:] != i[order][:-1]]) if len(i) else np.zeros(0, bool)
+                    best.append(tuple(z[order][first] for z in (i, j, far)))
+                if not best:
+                    break
+                i, j, far = (np.concatenate(x) for x in zip(*best, strict=True))
+                order = np.argsort(far, kind="stable")
+                if not joined.add(who[i[order]].tolist(), who[j[order]].tolist()):
+                    break
+        x, y = (np.array([p[z] for p in joined.kept], np.int64) for z in (0, 1))
+        return pa.table({"x": pa.array(names[x]), "y": pa.array(names[y])})
+
+    pairs = left.groupBy("bucket").applyInArrow(run, "x long, y long")
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def sets_for(docs: DataFrame, wanted: DataFrame, clashing: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """wanted (c, id and more) with the members of c's set, made from the text of id; one filter pass over the documents."""
+    spark = docs.sparkSession
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BLOOM, bool)
@@ -424,36 +464,36 @@ def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
             may = filter_.value[(batch.column(2).to_numpy().view(np.uint64) % np.uint64(BLOOM)).astype(np.int64)]
             part = batch.filter(pa.array(may))
             for lo, hi, h, bounds in sets_of(part.column(1)):
-                c, _ = names_of(h, bounds)
-                # 48 bits of each hash: enough within one pair; sizes are of the whole hashes
-                raw = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:]
-                cut = [np.ascontiguousarray(raw[bounds[i] : bounds[i + 1]]).tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(c.view(np.int64)), pa.array(cut, pa.binary())], names=["id", "c", "members"])
+                c = keys_of(*names_of(h, bounds), clashing)
+                members = [h[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(c.view(np.int64)), pa.array(members, pa.binary())], names=["id", "c", "members"])
 
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).mapInArrow(sets, f"id {form}, c long, members binary")
-    brought = wanted.join(made, ["id", "c"]).select("to", "salt", "head", "c", "members")
+    return wanted.join(made, (wanted["c"] == made["c"]) & wanted["id"].eqNullSafe(made["id"])).select(*[wanted[x] for x in wanted.columns if x != "id"], made["members"])
+
+
+def compare(docs: DataFrame, classes: DataFrame, pairs: DataFrame, clashing: np.ndarray, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Intersects the sets of each pair: the pairs that link, x, y. classes: c, id of one document."""
+    owners = classes.select("c", "id")
+    crowd = pairs.groupBy("y").agg(F.floor(F.count("*") / 256).alias("salts"))
+    pairs = written(pairs.join(crowd, "y").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts") + 1)).select("x", "y", "salt"), "pairs")
+    asks = pairs.select(F.col("x").alias("c"), F.col("y").alias("to"), "salt", F.lit(False).alias("head")).union(pairs.select(F.col("y"), F.col("y"), "salt", F.lit(True)).distinct())
+    wanted = written(asks.join(owners, "c").select("c", "to", "salt", "head", "id"), "wanted")
 
     def run(t: pa.Table) -> pa.Table:
-        head, c, members = t.column("head").to_pylist(), t.column("c").to_pylist(), t.column("members")
-        sets = [_members(m) for m in members]
+        head, c = t.column("head").to_pylist(), t.column("c").to_pylist()
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in t.column("members")]
         own = next((s for s, yes in zip(sets, head, strict=True) if yes), None)
-        x, linked = [], []
+        x = []
         for s, yes, name in zip(sets, head, c, strict=True):
             if not yes and own is not None:
                 need = int(least_overlap(np.int64(len(s)), np.int64(len(own)), percent))
-                x.append(name)
-                linked.append(min(len(s), len(own)) >= need and _suffix_bound(s, own) >= need and _overlap(s, own) >= need)
+                if min(len(s), len(own)) >= need and _suffix_bound(s, own) >= need and _overlap(s, own) >= need:
+                    x.append(name)
         y = t.column("to")[0].as_py()
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array([y] * len(x), pa.int64()), "linked": pa.array(linked, pa.bool_())})
-
-    return written(brought.groupBy("to", "salt").applyInArrow(run, "x long, y long, linked boolean").distinct(), "compared")
-
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array([y] * len(x), pa.int64())})
 
-def _members(m) -> np.ndarray:
-    raw = np.frombuffer(m.as_buffer(), np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 2:] = raw
-    return wide.view(np.uint64).reshape(-1)
+    return written(sets_for(docs, wanted, clashing, id_col, text_col).groupBy("to", "salt").applyInArrow(run, "x long, y long").distinct(), "links")
 
 
 def _suffix_bound(a: np.ndarray, b: np.ndarray) -> int:
@@ -470,6 +510,45 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def settle(docs: DataFrame, classes: DataFrame, edges: DataFrame, whole: DataFrame, clashing: np.ndarray, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """All links between different components within the families that `edges` span, as a spanning forest for each task: x, y.
+
+    A family is held by a task, sets and all, up to about FAMILY members; a larger one becomes blocks, and every two
+    blocks a task.
+    """
+    families = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("family"))
+    known = families.join(classes.select("c", "n", "id"), "c").join(whole.select("c", "k"), "c")
+    split = known.groupBy("family").agg(F.ceil(F.sum("n") * 2 / F.lit(FAMILY)).cast("int").alias("split"))
+    split = split.withColumn("split", F.when(F.col("split") <= 2, 1).otherwise(F.col("split")))
+    own = F.pmod(F.xxhash64("c"), F.col("split")).cast("int")
+    dealt = known.join(split, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    wanted = written(dealt.select("c", "id", "family", "k", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own"), "families")
+
+    def run(t: pa.Table) -> pa.Table:
+        c, k, own = (t.column(x).to_numpy() for x in ("c", "k", "own"))
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in t.column("members")]
+        cross = t.column("a")[0].as_py() != t.column("b")[0].as_py()
+        n = np.array([len(s) for s in sets], np.int64)
+        held = np.concatenate(sets)
+        order = np.argsort(held, kind="stable")
+        holder = np.repeat(np.arange(len(sets)), n)[order]
+        held = held[order]
+        labels, of = np.unique(k, return_inverse=True)
+        joined, x, y = Forest(len(labels)), [], []
+        for i, s in enumerate(sets):
+            lo, hi = np.searchsorted(held, s, "left"), np.searchsorted(held, s, "right")
+            reach = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            shared = np.bincount(holder[reach], minlength=len(sets))
+            may = np.flatnonzero((shared >= least_overlap(n, n[i], percent)) & (k != k[i]) & (np.arange(len(sets)) > i) & (not cross or own != own[i]))
+            for j in may.tolist():
+                if joined.add([of[i]], [of[j]]):
+                    x.append(int(c[i]))
+                    y.append(int(c[j]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+    return written(sets_for(docs, wanted, clashing, id_col, text_col).groupBy("family", "a", "b").applyInArrow(run, "x long, y long"), "links")
+
+
 def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (c, k) after new links: only links between different components are followed."""
     k = whole.select("c", "k")
@@ -483,33 +562,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+` of the whole text. Fewer than five words are one shingle. Null, empty
     and blank texts have an empty set and link with nothing. Returns a row for each row: id, n_shingles, component_id
     (the smallest id reachable, its own included; a null id is never the smallest unless alone). Repeated rows link with
-    each other. An empty table gives an empty table.
+    each other. An empty table gives an empty table. Other columns, whatever their names, are left aside.
     """
     profiled = profile(docs, id_col, text_col)
     rows = profiled.where("kind = 0")
-    classes = written(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("d").alias("d1"), F.max("d").alias("d2"), F.first("part").alias("parity")), "classes")
-    if classes.where("d1 <> d2").limit(1).count():
-        raise ValueError("two sets share a 64-bit name; change the coefficients")
+    pairs_of_names = rows.where("n > 0").groupBy("c").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b")
+    # first names that several sets share: of m sets m * m / 2^65 are expected, about ten of 2 * 10^10
+    clashing = np.array([r[0] for r in pairs_of_names.select("c").collect()], np.int64).view(np.uint64)
+    if len(clashing):
+
+        def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = keys_of(b.column(3).to_numpy().view(np.uint64), b.column(4).to_numpy().view(np.uint64), clashing)
+                yield b.set_column(3, "c", pa.array(key.view(np.int64)))
+
+        rows = written(rows.mapInArrow(rename, rows.schema), "renamed")
+    classes = written(rows.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("part").alias("parity")), "classes")
     ranks, excess = rarity(profiled)
     total = rows.agg(F.sum(F.col("n") + 4)).collect()[0][0] or 0
     buckets = int(max(24, total // 4 // BUCKET))
-    lists = shared_lists(postings(docs, ranks, excess, buckets, percent, text_col))
-    tried = written(pivots(lists, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "tried")
+    lists = shared_lists(postings(docs, ranks, excess, clashing, buckets, percent, text_col))
     whole = classes.select("c", F.col("c").alias("k"))
-    links = compare(docs, classes, tried, percent, id_col, text_col).where("linked")
-    left = open_lists(lists, classes)
-    for trial in range(TRIALS + 1):
-        whole = merged(whole, links)
-        left = still_open(left.select("list", "c", "n", "at", "p"), whole)
-        fresh = written(open_pairs(left, percent, trial, buckets).join(tried, ["x", "y"], "left_anti"), "open")
-        n, partly = fresh.agg(F.count("*"), F.max("more")).collect()[0]
-        if not n and (trial == 0 or not sampled):
-            break
-        links = compare(docs, classes, fresh.select("x", "y"), percent, id_col, text_col).where("linked")
-        tried, sampled = tried.union(fresh.select("x", "y")), partly if n else sampled
-        if not sampled or trial == TRIALS:  # every open pair has been compared
-            whole = merged(whole, links)
-            break
+    if lists.where(F.col("width") > LONG).limit(1).count():
+        whole = merged(whole, compare(docs, classes, pivots(lists, percent), clashing, percent, id_col, text_col))
+    left = still_open(open_lists(lists, classes), whole)
+    likely = written(forest(left, percent, buckets), "likely")
+    whole = merged(whole, compare(docs, classes, likely, clashing, percent, id_col, text_col))
+    left = still_open(left.drop("k"), whole)
+    spanned = written(forest(left, percent, buckets), "spanned")
+    if spanned.limit(1).count():
+        whole = merged(whole, settle(docs, classes, spanned, whole, clashing, percent, id_col, text_col))
     whole = whole.join(classes.select("c", "id"), "c")
     least = whole.groupBy("k").agg(F.min("id").alias("component_id"))
     found = whole.join(least, "k").select("c", "component_id")

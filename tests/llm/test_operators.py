@@ -117,6 +117,46 @@ def test_ngram_join(spark, monkeypatch):
     assert ngram_join.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_ngram_join_of_a_shingle_that_very_many_texts_share(spark, monkeypatch):
+    """Long lists with pivots and blocks, and families split into blocks; half of the texts are close but no links."""
+    rng = random.Random(17)
+    head = "one two three four five six"
+    base = [f"w{i}" for i in range(30)]
+    texts = []
+    for i in range(700):
+        tail = list(base)
+        for _ in range(rng.choice([1, 2, 4, 5])):
+            tail[rng.randrange(30)] = f"x{rng.randint(0, 400)}"
+        texts.append(" ".join([head] + tail) if i % 2 else head + " " + " ".join(f"y{rng.randint(0, 90)}" for _ in range(3)))
+    n, component = linked(texts)
+    monkeypatch.setattr(ngram_join, "LONG", 60)
+    monkeypatch.setattr(ngram_join, "SHORT", 5)
+    monkeypatch.setattr(ngram_join, "FAMILY", 2000)
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == component
+    assert 1 < len(set(component)) < len(texts)
+
+
+def test_ngram_join_of_names_that_clash():
+    h = np.arange(10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    c, d = ngram_join.names_of(h, np.array([0, 3, 7, 7, 10]))
+    same = np.full(4, c[0])
+    assert len(set(ngram_join.keys_of(same, d, c[:1]).tolist())) == 4
+    assert (ngram_join.keys_of(c, d, np.zeros(0, np.uint64)) == c).all()
+
+
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 200, 250, 260, 900, 1100)]
+    sets += [np.sort(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10).astype(np.uint64)])) for s in sets]
+    parts = [ngram_join.parities_of(s, np.array([0, len(s)]))[0] for s in sets]
+    sketches = ngram_join.Sketches(parts, 75)
+    for a in range(6):
+        apart = int(sketches.apart(np.array([a]), np.array([a + 6]))[0])
+        assert apart <= len(np.setxor1d(sets[a], sets[a + 6])) and (apart > 0 or len(sets[a]) < 10)
+    assert int(sketches.apart(np.array([2]), np.array([3]))[0]) > 150  # of different lengths, folded
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 102), (103, 100)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
