@@ -311,8 +311,9 @@ def pivots(lists: DataFrame, percent: int) -> DataFrame:
     return lists.where(F.col("width") > LONG).select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
 
 
-def open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """A row for each class of each list: list, c, n, at, p (its parity sketch). A long list becomes a list for every two of its blocks."""
+def open_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """A row for each class of each list that has a class there with which it could link by length and place: list, c, n, at.
+    Long lists keep all; a very long one becomes a list for every two of its blocks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +325,7 @@ def open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
                     own = c % np.uint64(split)
                     for other in range(split):
                         a, b = np.minimum(own, np.uint64(other)), np.maximum(own, np.uint64(other))
-                        yield flat([(mix(name + a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)), c, n, at)])
+                        yield flat([(mix(name + a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)), c, n, at)], whole=False)
                     continue
                 held.append((name, c, n, at))
                 size += len(c)
@@ -334,11 +335,25 @@ def open_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
             if held:
                 yield flat(held)
 
-    def flat(held):
+    def flat(held, whole=True):
         name, c, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(at.astype(np.int64))], names=["list", "c", "n", "at"])
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        if not whole:  # the other rows of these lists come in other batches
+            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n), pa.array(at)], names=["list", "c", "n", "at"])
+        edge = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
+        width = np.repeat(np.diff(edge), np.diff(edge))
+        may = width > SHORT
+        short = np.flatnonzero(~may)
+        for d in range(1, SHORT):
+            i = short[short + d < len(name)]
+            i = i[name[i] == name[i + d]]
+            if not len(i):
+                break
+            i = i[_within_bounds(n, at, i, i + d, percent)]
+            may[i] = may[i + d] = True
+        return pa.RecordBatch.from_arrays([pa.array(name[may].view(np.int64)), pa.array(c[may].view(np.int64)), pa.array(n[may]), pa.array(at[may])], names=["list", "c", "n", "at"])
 
-    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long").join(classes.select("c", F.col("parity").alias("p")), "c")
+    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long")
 
 
 def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -370,10 +385,10 @@ class Forest:
         return len(self.kept) - before
 
 
-def forest(left: DataFrame, percent: int, buckets: int) -> DataFrame:
+def forest(left: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Of the pairs of classes in one list and different components that pass length, positional and parity bounds, a
     spanning forest for each bucket, the likeliest links first: x, y. At most one row fewer than a bucket's classes."""
-    left = left.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
+    left = left.join(classes.select("c", F.col("parity").alias("p")), "c").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(8 * buckets)))
 
     def run(t: pa.Table) -> pa.Table:
         name, c, n, at, k = (t.column(x).to_numpy() for x in ("list", "c", "n", "at", "k"))
@@ -585,11 +600,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     whole = classes.select("c", F.col("c").alias("k"))
     if lists.where(F.col("width") > LONG).limit(1).count():
         whole = merged(whole, compare(docs, classes, pivots(lists, percent), clashing, percent, id_col, text_col))
-    left = still_open(open_lists(lists, classes), whole)
-    likely = written(forest(left, percent, buckets), "likely")
+    left = still_open(open_lists(lists, percent), whole)
+    likely = written(forest(left, classes, percent, buckets), "likely")
     whole = merged(whole, compare(docs, classes, likely, clashing, percent, id_col, text_col))
-    left = still_open(left.drop("k"), whole)
-    spanned = written(forest(left, percent, buckets), "spanned")
+    # a pair that is still open passed the bounds before, so that both of its classes are in that forest
+    near = likely.select(F.col("x").alias("c")).union(likely.select("y")).distinct()
+    left = still_open(left.drop("k").join(near, "c", "left_semi"), whole)
+    spanned = written(forest(left, classes, percent, buckets), "spanned")
     if spanned.limit(1).count():
         whole = merged(whole, settle(docs, classes, spanned, whole, clashing, percent, id_col, text_col))
     whole = whole.join(classes.select("c", "id"), "c")
