@@ -14,18 +14,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix
+from .common import blocks, mix, written
 
 N = 4
 #: Labelled texts of each language that the filters are built from, at most about so many, chosen by a hash of the id.
 SAMPLE = 6000
-#: n-grams of each language that its filter holds, at most.
-GRAMS = 40_000
-#: Positions of the filter, a power of two, and positions of each n-gram.
-POSITIONS, HASHES = 1 << 19, 3
+#: Positions of the filter: a power of two, at least LEAST and so many for each n-gram of the largest language; positions
+#: of each n-gram.
+LEAST, ROOM, HASHES, SHIFT = 1 << 19, 12, 3, 21
+#: Pieces in which parts of the filter are put together.
+CHUNKS = 64
 #: An n-gram belongs to a language where it is at least so frequent as this share of its frequency anywhere.
 SHARE = 0.3
 
@@ -69,9 +70,10 @@ class LanguageFilter:
     false_positive: np.ndarray  # rate, by language
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        got = self.masks[h & np.uint64(POSITIONS - 1)]
+        last = np.uint64(len(self.masks) - 1)
+        got = self.masks[h & last]
         for k in range(1, HASHES):
-            got = got & self.masks[(h >> np.uint64(20 * k)) & np.uint64(POSITIONS - 1)]
+            got = got & self.masks[(h >> np.uint64(SHIFT * k)) & last]
         return got
 
     def scores(self, h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -86,20 +88,38 @@ class LanguageFilter:
         return out
 
 
+def positions(most: int) -> int:
+    """Positions of a filter whose largest language has so many n-grams."""
+    return max(LEAST, 1 << (ROOM * most - 1).bit_length()) if most else LEAST
+
+
+def mark(masks: np.ndarray, l: int, h: np.ndarray) -> None:
+    """Sets the bit of language l at the positions of n-grams h."""
+    word, bit = divmod(l, 64)
+    for k in range(HASHES):
+        masks[(h >> np.uint64(SHIFT * k)) & np.uint64(len(masks) - 1), word] |= np.uint64(1 << bit)
+
+
+def closed(languages: list[str], masks: np.ndarray) -> LanguageFilter:
+    """The filter with each language's rate of false positives, from its share of set bits."""
+    fills = np.array([((masks[:, l // 64] >> np.uint64(l % 64)) & np.uint64(1)).mean() for l in range(len(languages))])
+    return LanguageFilter(languages, masks, np.minimum(fills**HASHES, 0.99))
+
+
 def build(languages: list[str], members: list[np.ndarray]) -> LanguageFilter:
-    words = max(1, -(-len(languages) // 64))
-    masks = np.zeros((POSITIONS, words), np.uint64)
-    fills = []
+    """A filter of these n-grams of each language."""
+    masks = np.zeros((positions(max(map(len, members), default=0)), max(1, -(-len(languages) // 64))), np.uint64)
     for l, h in enumerate(members):
-        word, bit = divmod(l, 64)
-        for k in range(HASHES):
-            masks[(h >> np.uint64(20 * k)) & np.uint64(POSITIONS - 1), word] |= np.uint64(1 << bit)
-        fills.append(((masks[:, word] >> np.uint64(bit)) & np.uint64(1)).mean())
-    return LanguageFilter(languages, masks, np.minimum(np.array(fills) ** HASHES, 0.99) if fills else np.zeros(0))
+        mark(masks, l, h)
+    return closed(languages, masks)
 
 
 def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageFilter:
-    """Filters from a bounded sample (about `sample` texts of each language) of the training rows with text and language."""
+    """Filters from a bounded sample (about `sample` texts of each language) of the training rows with text and language.
+
+    A filter holds every n-gram of its language's texts but those that are SHARE times or less as frequent in it as in some
+    other language. Only the filter itself reaches the driver.
+    """
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}
     languages = sorted(sizes)
@@ -118,19 +138,36 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
                     yield pa.RecordBatch.from_arrays([pa.array([l] * len(name), pa.string()), pa.array(name.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = rows.where(draw < most).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the sample bounds the rows; each language keeps its GRAMS most frequent, ties by name
-    top = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= GRAMS).toPandas()
-    found = {}
-    for l in languages:
-        part = top[top.lang == l]
-        total = max(1, part.n.sum())
-        found[l] = (part.gram.to_numpy().astype(np.int64).view(np.uint64), part.n.to_numpy() / total)
-    every = np.unique(np.concatenate([g for g, _ in found.values()]))
-    rate = np.zeros((len(languages), len(every)))
-    for i, l in enumerate(languages):
-        rate[i, np.searchsorted(every, found[l][0])] = found[l][1]
-    best = rate.max(axis=0)
-    return build(languages, [every[(rate[i] > 0) & (rate[i] >= SHARE * best)] for i in range(len(languages))])
+    counted = written(counted, "grams")
+    totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
+    number = F.element_at(F.create_map(*[x for i, l in enumerate(languages) for x in (F.lit(l), F.lit(i))]), F.col("lang"))
+    total = F.element_at(F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(float(totals.get(l, 1))))]), F.col("lang"))
+    shared = counted.select("gram", F.struct((F.col("n") / total).alias("rate"), number.alias("l")).alias("p")).groupBy("gram").agg(F.collect_list("p").alias("ps"), F.max("p.rate").alias("best"))
+    kept = shared.select("gram", F.explode(F.filter("ps", lambda p: p["rate"] >= SHARE * F.col("best"))).alias("p")).select("gram", F.col("p.l").alias("l"))
+    kept = written(kept, "members")
+    held = {r[0]: r[1] for r in kept.groupBy("l").count().collect()}
+    shape = (positions(max(held.values(), default=0)), max(1, -(-len(languages) // 64)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = np.zeros(shape, np.uint64)
+        for batch in batches:
+            h, l = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for i in np.unique(l).tolist():
+                mark(masks, i, h[l == i])
+        for c, piece in enumerate(np.split(masks, CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([piece.tobytes()], pa.binary())], names=["chunk", "part"])
+
+    def either(t: pa.Table) -> pa.Table:
+        out = None
+        for p in t.column("part"):
+            p = np.frombuffer(p.as_buffer(), np.uint64)
+            out = p if out is None else out | p
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "part": pa.array([out.tobytes()], pa.binary())})
+
+    merged = kept.coalesce(8).mapInArrow(part, "chunk long, part binary").groupBy("chunk").applyInArrow(either, "chunk long, part binary")
+    raw = {r[0]: r[1] for r in merged.collect()}  # the filter, piece by piece
+    masks = np.concatenate([np.frombuffer(raw[c], np.uint64) for c in range(CHUNKS)]).reshape(shape) if raw else np.zeros(shape, np.uint64)
+    return closed(languages, masks)
 
 
 def predict(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
