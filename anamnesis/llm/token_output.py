@@ -1,7 +1,7 @@
 """Training-order materialisation of token ids.
 
 Every split of the input packs its documents, in order, into sequences of fixed length. A sequence's index is its
-split's number times the most sequences that any split can hold, plus its number there; a keyed Feistel permutation
+split's number times the most sequences that any split could hold, plus its number there; a keyed Feistel permutation
 with cycle-walking takes the index to a place in the same domain, and the sequence's global slot is its rank among the
 occupied places. Ranges of places go to shards, each of which is written in order at a fixed stride. So texts are
 tokenised once, and the only copy on the way is the shuffle to the shards.
@@ -29,6 +29,8 @@ LENGTH, SHARD_BYTES = 1024, 24 << 20
 #: Header of a record: number of tokens that are not padding; then LENGTH ids.
 HEADER = 4
 END = 50256
+#: Splits that the permutation has room for, at least.
+SPLITS = 1 << 20
 
 
 @lru_cache(2)
@@ -57,12 +59,15 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
     spark = docs.sparkSession
     out = out or scratch_path(spark, "shards")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length(F.coalesce("t", F.lit(""))) + 1).alias("n")).agg(F.max("p"), F.max("n"), F.sum("n")).collect()[0]
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length(F.coalesce("t", F.lit(""))) + 1).alias("n")).agg(F.max("p"), F.sum("n")).collect()[0]
     if sizes[0] is None:
         return spark.createDataFrame([], f"slot long, shard int, offset long, n_tokens int, n_docs int, doc_ids array<{docs.schema[id_col].dataType.simpleString()}>, path string")
-    most = int(sizes[1]) // length + 1  # a token is a byte or more
-    domain = (int(sizes[0]) + 1) * most
-    shards = max(1, int(sizes[2] * 0.8) // SHARD_BYTES)  # about 2.5 bytes a token, of 2 bytes
+    # room for any division of the rows into splits: none holds more than everything (a token is a byte or more)
+    most = int(sizes[1]) // length + 1
+    splits = max(SPLITS, 4 * (int(sizes[0]) + 1))
+    domain = splits * most
+    shards = max(1, int(sizes[1] * 0.8) // SHARD_BYTES)  # about 2.5 bytes a token, of 2 bytes
+    width = -(-domain // shards)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +88,8 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
                 owners.append(ids[a : b + 1])
                 counts.append(len(piece))
                 parts.append(press.compress(piece.tobytes()))
-            if made + n > most:
-                raise ValueError("the split holds more than it did when it was measured")
+            if made + n > most or split >= splits:
+                raise ValueError("the documents changed between two readings")
             index = split * most + made + np.arange(n)
             made += n
             place = permute(index, domain, key)
@@ -93,7 +98,7 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
             left = stream[used:]  # the tokens of documents from `rest` on that no sequence holds yet
             held = np.split(left, ends[rest:-1] - used) if len(left) else []
             ids, total = ids[rest:] if len(left) else [], len(left)
-            return pa.RecordBatch.from_arrays([pa.array((place * shards // domain).astype(np.int32)), pa.array(place), pa.array(parts, pa.binary()), pa.array(np.array(counts, np.int32)), pa.array(owners, pa.list_(id_type))], names=["shard", "place", "part", "n_tokens", "doc_ids"])
+            return pa.RecordBatch.from_arrays([pa.array((place // width).astype(np.int32)), pa.array(place), pa.array(parts, pa.binary()), pa.array(np.array(counts, np.int32)), pa.array(owners, pa.list_(id_type))], names=["shard", "place", "part", "n_tokens", "doc_ids"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -101,6 +106,8 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
                 raw, names = data.tobytes(), batch.column(0).slice(lo, hi - lo).to_pylist()
                 for i in range(hi - lo):
                     got = code.encode_to_numpy(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace"), disallowed_special=())
+                    if len(got) and got.max() > 0xFFFF:
+                        raise ValueError("token ids of 65,536 or more do not fit the records")
                     tokens = np.empty(len(got) + 1, np.uint16)
                     tokens[:-1], tokens[-1] = got, end
                     held.append(tokens)
@@ -112,7 +119,8 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
             yield cut(True)
 
     packed = rows.mapInArrow(pack, f"shard int, place long, part binary, n_tokens int, doc_ids array<{kind}>")
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    # a partition for each range of places, without sampling: the ranges are known
+    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
