@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Distinct vectors that the graph is built on, at most about, chosen by a hash of the vector.
-SAMPLE = 8000
-#: Distinct vectors of a part, about, and parts at most; larger parts are searched in blocks of BLOCK_ROWS.
-PART_ROWS, PARTS, BLOCK_ROWS = 1500, 512, 20_000
+#: Distinct vectors that the graph is built on, chosen by a hash of the vector: about SAMPLE, and PER_PART for each part.
+SAMPLE, PER_PART = 8000, 32
+#: Parts for each root of the number of distinct vectors, and parts at most; larger parts are searched in blocks of
+#: BLOCK_ROWS rows and QUERY_ROWS queries.
+SPREAD, PARTS, BLOCK_ROWS, QUERY_ROWS = 0.25, 1024, 20_000, 50_000
 NEIGHBOURS = 12
 HIDDEN = 128
 #: Recall that the number of probed parts is chosen for: on the sample's held-out rows by mass alone, then on so many
@@ -191,11 +192,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     distinct = written(ranked.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min_by("v", "id").alias("v")), "vectors")
     asked = rows.where("asks").select("id", "h1", "h2").distinct()
     total = distinct.count()
-    parts = int(min(PARTS, max(1, total // PART_ROWS)))
+    parts = int(min(PARTS, max(1, SPREAD * total**0.5)))
     asking = asked.select("h1", "h2").distinct()
     # the first by their hashes, which say nothing of the vectors
     checks = distinct.join(asking, ["h1", "h2"], "left_semi").select("h1", "h2", "v").orderBy("h1", "h2").limit(CHECKS).toPandas() if parts > 1 else None
-    share = min(1.0, 1.0 * SAMPLE / max(1, total))
+    share = min(1.0, 1.0 * max(SAMPLE, PER_PART * parts) / max(1, total))
     sample = distinct.where(F.pmod(F.xxhash64("h1", "h2", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy("h1", "h2").select("h1", "h2", "v").toPandas() if parts > 1 else None
     if parts > 1:
         seen = set(zip(checks.h1, checks.h2))
@@ -255,9 +256,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
                 block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(who)), c.column(1).take(pa.array(who)), c.column(2).take(pa.array(who)), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32))], names=["h1", "h2", "v", "part", "block"])
 
-    wanted = index.join(asking, ["h1", "h2"], "left_semi").select("h1", "h2", "v").mapInArrow(route, f"h1 long, h2 long, v {form}, part int, block int")
-    blocks_of = F.element_at(F.array(*[F.lit(int(s)) for s in split]), F.col("part") + 1)
-    held = index.withColumn("block", F.pmod(F.xxhash64("h2", "h1"), blocks_of).cast("int"))
+    wanted = written(index.join(asking, ["h1", "h2"], "left_semi").select("h1", "h2", "v").mapInArrow(route, f"h1 long, h2 long, v {form}, part int, block int"), "wanted")
+    routed = {r[0]: r[1] for r in wanted.where("block = 0").groupBy("part").count().collect()}  # a row for each part
+    crowd = [max(1, -(-routed.get(i, 0) // QUERY_ROWS)) for i in range(len(sizes))]
+
+    def of_part(values) -> Column:
+        return F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("part") + 1)
+
+    wanted = wanted.withColumn("turn", F.pmod(F.xxhash64("h1", "h2"), of_part(crowd)).cast("int"))
+    held = index.withColumn("block", F.pmod(F.xxhash64("h2", "h1"), of_part(split)).cast("int"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), of_part(crowd) - 1)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"h1": [], "h2": [], "found": []}
@@ -277,7 +285,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         found = [[{"less": a, "id": n} for a, n in f] for f in out["found"]]
         return pa.table({"h1": pa.array(out["h1"], pa.int64()), "h2": pa.array(out["h2"], pa.int64()), "found": pa.array(found, pa.list_(pa.struct([("less", pa.float64()), ("id", right.schema.field("ids").type.value_type)])))})
 
-    near = wanted.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(score, f"h1 long, h2 long, found array<struct<less: double, id: {kind}>>")
+    near = wanted.groupBy("part", "block", "turn").cogroup(held.groupBy("part", "block", "turn")).applyInArrow(score, f"h1 long, h2 long, found array<struct<less: double, id: {kind}>>")
     best = near.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     others = asked.join(best, ["h1", "h2"]).select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda f: f["id"] != F.col("id")), 1, k).alias("found"))
     flat = others.select("query_id", F.posexplode("found").alias("p", "f"))
