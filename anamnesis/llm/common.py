@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 BLOCK_BYTES = 1 << 18
+#: Bytes that are hashed at a time, unless one word is longer.
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +57,25 @@ def fresh(names: list[str], name: str) -> str:
     return name
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, training: Column, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """About `sample` texts of each label, 0 and 1, of the labelled rows that `training` admits: t, y. Of several labels of one id the largest counts."""
+    known = labels.where(training & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, sizes.get(0, 0)))))
+    some = known.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    # about 2 x sample rows of two columns: broadcast, so that no text is shuffled
+    return written(docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(some), id_col).select("t", "y").where("t is not null"), "labelled")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column, without copying the bytes; null counts as empty."""
+    """(bytes, offsets) of a string column, without copying the bytes; null counts as empty. In a text that is not UTF-8
+    each invalid sequence counts as U+FFFD."""
     column = column.cast(pa.large_string())
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.large_binary()).to_pylist()
+        column = pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw], pa.large_string())
     n = len(column)
     _, offs, data = column.buffers()
     if n == 0 or data is None:
@@ -93,7 +111,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, 2 * PIECE_BYTES)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -127,8 +145,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of one running polynomial, shifted to a common origin, then mixed."""
+    """64-bit hashes of ascending byte spans: differences of one running polynomial, shifted to a common origin, then mixed.
+    Long texts are taken piece by piece."""
     n = len(data)
+    if n > PIECE_BYTES and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, n, PIECE_BYTES // 2)))
+        cuts = np.unique(np.concatenate([[0], cuts, [len(starts)]]))
+        pieces = [(a, b, starts[a], ends[a:b].max()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.concatenate([span_hashes(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo, lower) for a, b, lo, hi in pieces])
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])

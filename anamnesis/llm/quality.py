@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, row_of, span_hashes, words
-from .toxicity import _sample
+from .common import blocks, labelled_sample, row_of, span_hashes, words
 
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled texts of each label that are learned from, at most about, and passages of each, evenly spread.
-SAMPLE, PASSAGES = 4000, 64
+#: Labelled texts of each label that are learned from, with all their passages, at most about.
+SAMPLE = 4000
+#: Bytes of one text whose passages are described at a time, about.
+PIECE = 1 << 21
 ENCODED, GATES, EPOCHS, BATCH = 24, 16, 30, 64
 
 # Byte classes: 0 lower-case letters, 1 capitals, 2 digits, 3 blanks, 4 line ends, 5 beyond ASCII, 6 other controls, then each mark.
@@ -42,6 +43,11 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """(features of every passage, its row), in order. A text without words has one passage of zeros."""
     rows = len(offsets) - 1
     starts, ends = words(data, offsets)
+    if rows == 1 and len(data) > PIECE and len(starts) > PASSAGE:  # a long text, by pieces of whole passages
+        step = PASSAGE * max(1, int(len(starts) * PIECE / len(data)) // PASSAGE)
+        cuts = [0, *starts[step::step].tolist(), len(data)]
+        pieces = [passages(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate(pieces), np.zeros(sum(map(len, pieces)), np.int64)
     row = row_of(offsets, starts)
     size = np.bincount(row, minlength=rows)
     count = np.maximum(1, -(-size // PASSAGE))
@@ -133,9 +139,9 @@ def fit_bags(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 0) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | float:
-    """Learns from a bounded sample (about `sample` texts of each label, PASSAGES passages of each) of labelled rows that
-    `training` admits. With labels of one kind only, that label as a constant score; without any, 0.5."""
-    some = _sample(docs, labels, training, id_col, text_col, label_col, sample)
+    """Learns from a bounded sample (about `sample` texts of each label, all passages of each) of labelled rows that
+    `training` admits; of conflicting labels of one id the largest counts, null labels and null texts are left out. With labels of one kind only, that label as a constant score; without any, 0.5."""
+    some = labelled_sample(docs, labels, training, id_col, text_col, label_col, sample)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                 out = []
                 for i in range(hi - lo):
                     a, b = np.searchsorted(owner, [i, i + 1])
-                    pick = np.unique(np.linspace(a, b - 1, min(PASSAGES, b - a)).astype(int))
-                    out.append(x[pick].astype(np.float32).tobytes())
+                    out.append(x[a:b].astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1).slice(lo, hi - lo)], names=["x", "y"])
 
     kind = some.schema["y"].dataType.simpleString()

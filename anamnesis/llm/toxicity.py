@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, row_of, span_hashes, words, written
+from .common import blocks, labelled_sample, row_of, span_hashes, words, written
 
 SPAN, DECAY, SYMBOLS = 7, 0.6, 64
 #: Symbol that stands before a string.
@@ -239,19 +239,10 @@ def train(landmarks: list[str], strings: list[str], labels: np.ndarray, importan
     return Machine(out, float(b))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, training: Column, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    known = labels.where(training & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, sample / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample / max(1, sizes.get(0, 0)))))
-    some = known.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
-    # about 2 x sample rows of two columns: broadcast, so that no text is shuffled
-    return written(docs.select(F.col(id_col), F.col(text_col).alias("t")).join(F.broadcast(some), id_col).select("t", "y").where("t is not null"), "labelled")
-
-
 def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Machine:
     """Learns from a bounded sample (about `sample` texts of each label) of labelled rows that `training` admits."""
     spark = docs.sparkSession
-    some = _sample(docs, labels, training, id_col, text_col, label_col, sample)
+    some = labelled_sample(docs, labels, training, id_col, text_col, label_col, sample)
     sizes = {r[0]: r[1] for r in some.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, (0.0, 0.0, 50.0 if sizes.get(1) else -50.0))

@@ -209,8 +209,11 @@ def test_ann_recall(spark):
 
 
 def test_ann_recall_where_parts_outgrow_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 300)
-    monkeypatch.setattr(ann, "SAMPLE", 600)  # 15 rows of each of 40 parts: a floor of 400 rows probes 27 of these, but 2 of the index
+    monkeypatch.setattr(ann, "SPREAD", 0.366)  # 40 parts
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    monkeypatch.setattr(ann, "PER_PART", 15)  # a floor of 400 rows probes 27 of these parts, but 2 of the index
+    monkeypatch.setattr(ann, "QUERY_ROWS", 50)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 200)
     x = np.random.default_rng(3).standard_normal((12_000, 4))
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") % 50 == 0, k=100).toPandas()
@@ -221,7 +224,7 @@ def test_ann_recall_where_parts_outgrow_the_sample(spark, monkeypatch):
 
 
 def test_ann_recall_over_many_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "SPREAD", 0.7747)
     fit, parts = ann.fit, []
     monkeypatch.setattr(ann, "fit", lambda *a: parts.append(len((router := fit(*a)).b2)) or router)
     x = np.random.default_rng(4).standard_normal((6000, 16))
@@ -234,6 +237,58 @@ def test_ann_recall_over_many_parts(spark, monkeypatch):
     assert len(exact & set(zip(got.query_id, got.vec_id))) >= 0.9 * len(exact)
 
 
+def test_ann_ties_across_the_last_place(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(300)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), ann.F.col("vec_id") < 5, k=20).collect()
+    for q in range(5):
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-(1 + (q % 3) * (i % 3)), i))[:20]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_texts_that_are_not_utf8(spark):
+    bad = spark.sql("SELECT 1L AS doc_id, CAST(X'6162FF6364' AS STRING) AS text UNION ALL SELECT 2L, CAST(X'C3' AS STRING) UNION ALL SELECT 3L, 'plain'")
+    good = table(spark, ["ab\ufffdcd", "\ufffd", "plain"])
+    for run in (lambda d: token_counts.count_tokens(d, queries.tokenizer_path()).select("n_bytes", "n_tokens"), lambda d: language.predict(d, language.fit(good, ann.F.lit(True))).select("lang_pred"), lambda d: ngram_join.near_duplicates(d).select("n_shingles")):
+        assert sorted(map(str, run(bad).collect())) == sorted(map(str, run(good).collect()))
+
+
+def test_long_texts_are_taken_by_pieces(monkeypatch):
+    from anamnesis.llm import common
+
+    text = np.frombuffer(prose(random.Random(3), 3000).encode(), np.uint8)
+    ends = np.array([0, len(text)])
+    whole, features = common.word_hashes(text, ends)[0], quality.passages(text, ends)
+    monkeypatch.setattr(common, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(quality, "PIECE", 2000)
+    assert (common.word_hashes(text, ends)[0] == whole).all()
+    pieces = quality.passages(text, ends)
+    assert np.allclose(pieces[0], features[0]) and (pieces[1] == features[1]).all() and len(features[0]) == 47
+
+
+def test_attention_weighs_passages():
+    """The forward pass against a plain loop."""
+    rng = np.random.default_rng(5)
+    x, owner = rng.standard_normal((7, quality.FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2])
+    p = [rng.standard_normal(s) / 4 for s in ((quality.FEATURES, quality.ENCODED), quality.ENCODED, (quality.ENCODED, quality.GATES), (quality.ENCODED, quality.GATES), quality.GATES, quality.ENCODED, 1)]
+    y = quality.Model(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), p).forward(x, owner, 3)[-1]
+    for bag in range(3):
+        h = [np.tanh(r @ p[0] + p[1]) for r in x[owner == bag]]
+        e = np.array([(np.tanh(v @ p[2]) / (1 + np.exp(-(v @ p[3])))) @ p[4] for v in h])
+        a = np.exp(e) / np.exp(e).sum()
+        z = sum(w * v for w, v in zip(a, h))
+        assert np.isclose(y[bag], 1 / (1 + np.exp(-(z @ p[5] + p[6][0]))))
+
+
+def test_folded_weights_are_the_landmark_kernel():
+    """A word's score by folded weights equals the machine's value through kernel values with the landmarks."""
+    landmarks, strings = ["idiot", "stupid", "table"], ["idiot", "idxiot", "stable", "chair", "stu"]
+    k, known, z = toxicity.nystroem(landmarks, strings)
+    w = np.array([0.7, -0.2, 0.4])
+    folded = np.zeros(toxicity.SYMBOLS**3, np.float32)
+    folded[known] = w @ z
+    assert np.allclose(toxicity.Machine(folded, 0.0).score("\n".join(strings)), k @ w, atol=1e-4)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     texts = TEXTS + [prose(rng, rng.randint(0, 400)) for _ in range(60)]
@@ -291,6 +346,16 @@ def test_language(spark):
     assert language.predict(docs, blank).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_masks_hold_their_grams():
+    rng = np.random.default_rng(7)
+    members = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (3000, 10, 0)] + [np.zeros(0, np.uint64)] * 70
+    members[72] = members[0][:500]
+    f = language.build([str(i) for i in range(73)], members)
+    got = f.lookup(members[0])
+    assert ((got[:, 0] & np.uint64(1)) == 1).all() and ((got[:500, 1] >> np.uint64(8)) & np.uint64(1) == 1).all()
+    assert (f.lookup(rng.integers(0, 1 << 62, 4000).astype(np.uint64))[:, 0] & np.uint64(1)).mean() < 0.02
+
+
 def test_language_of_grams_seen_once(spark):
     docs = table(spark, ["the house and the thing with the house and the thing", "zwölf große boxkämpfer"], lang=["en", "sv"])
     model = language.fit(docs, ann.F.lit(True))
