@@ -100,8 +100,9 @@ def diversified(hits: DataFrame, m: DataFrame, k: int, lam: float) -> DataFrame:
 
 
 def topics(t: DataFrame) -> DataFrame:
-    """Topic of each user turn: its first two words, normalised, as TOPIC_SQL has it (the reference takes 100 characters)."""
-    return t.where("role = 'user'").select("conv_id", "turn", F.lower(F.array_join(F.slice(text.words(F.col("text")), 1, 2), " ")).alias("topic"))
+    """Topic of each user turn: its first 100 characters, and '...' where more follow, normalised."""
+    cut = F.when(F.length("text") > 100, F.concat(F.substring("text", 1, 100), F.lit("..."))).otherwise(F.col("text"))
+    return t.where("role = 'user'").select("conv_id", "turn", text.normal(cut).alias("topic"))
 
 
 def transitions(topic: DataFrame) -> DataFrame:

@@ -11,14 +11,77 @@ from ..functions.scoring import archival, decayed, scope_key
 from ..functions.vector import cosine
 
 
-def similar_pairs(m: DataFrame, least: float, strict: bool = False, block: tuple[str, ...] = ("user_id", "agent_id")) -> DataFrame:
-    """Pairs a < b of one owner whose vectors have at least this cosine (more than, if strict). The block's columns are the
-    join's keys, so pairs are only formed within an owner; AQE splits an owner that is skewed."""
+#: Rows of one owner that meet in one task, about twice: an owner with more is split, and every two of its blocks meet.
+BLOCK = 2000
+
+
+def _met(m: DataFrame, block: tuple[str, ...], run, form: str) -> DataFrame:
+    """Applies run (Arrow table: id, embedding, own, a, b) to every two blocks of each owner."""
     rows = m.where(F.size("embedding") > 0).select(*block, "id", "embedding")
-    left, right = rows.toDF(*block, "a", "va"), rows.toDF(*block, "b", "vb")
-    sim = cosine(F.col("va"), F.col("vb"))
-    pairs = left.join(right, list(block)).where("a < b").select("a", "b", sim.alias("similarity"))
-    return pairs.where(F.col("similarity") > least if strict else F.col("similarity") >= least)
+    sizes = rows.groupBy(*block).agg(F.ceil(F.count("*") / F.lit(2 * BLOCK)).cast("int").alias("n")).withColumn("n", F.when(F.col("n") > 1, 2 * F.col("n")).otherwise(1))
+    dealt = rows.join(sizes, list(block)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(*block, "id", "embedding", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    return dealt.groupBy(*block, "a", "b").applyInArrow(run, form)
+
+
+def _cosines(t):
+    """(ids, whether each two rows are to be compared here, their cosines) of one dimension after another."""
+    import numpy as np
+
+    ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+    vectors = t.column("embedding").to_pylist()
+    size = np.array([len(v) for v in vectors])
+    cross = t.column("a")[0].as_py() != t.column("b")[0].as_py()
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        x = np.array([vectors[i] for i in at], float)
+        norm = np.sqrt((x * x).sum(axis=1))
+        x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+        meets = own[at][:, None] != own[at][None, :] if cross else np.ones((len(at), len(at)), bool)
+        np.fill_diagonal(meets, False)
+        yield ids[at], meets, x @ x.T
+
+
+def similar_pairs(m: DataFrame, least: float, strict: bool = False, block: tuple[str, ...] = ("user_id", "agent_id")) -> DataFrame:
+    """Pairs a < b of one owner whose vectors have at least this cosine (more than, if strict). Rows of an owner meet in
+    blocks, so that no task holds more than about two, whatever an owner's size. Rows without an owner or a vector have no pair."""
+
+    def run(t):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b, s = [], [], []
+        for ids, meets, cos in _cosines(t):
+            i, j = np.nonzero(meets & ((cos > least) if strict else (cos >= least)) & (ids[:, None] < ids[None, :]))
+            a.append(ids[i])
+            b.append(ids[j])
+            s.append(cos[i, j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "similarity": np.concatenate(s)})
+
+    return _met(m, block, run, "a long, b long, similarity double")
+
+
+def nearest_pairs(m: DataFrame, most: int, least: float, block: tuple[str, ...] = ("user_id", "agent_id")) -> DataFrame:
+    """For each row its `most` nearest others of the same owner with at least this cosine, ties to the smaller id: id, other,
+    similarity. Each task hands on `most` rows for each of its rows, never all pairs."""
+
+    def run(t):
+        import numpy as np
+        import pyarrow as pa
+
+        out = [[], [], []]
+        for ids, meets, cos in _cosines(t):
+            order = np.argsort(ids, kind="stable")
+            ids, meets, cos = ids[order], meets[order][:, order], np.round(cos[order][:, order], 9)
+            near = np.argsort(-np.where(meets & (cos >= least), cos, -np.inf), axis=1, kind="stable")[:, :most]
+            i, j = np.repeat(np.arange(len(ids)), near.shape[1]), near.reshape(-1)
+            ok = meets[i, j] & (cos[i, j] >= least)
+            for column, x in zip(out, (ids[i[ok]], ids[j[ok]], cos[i[ok], j[ok]]), strict=True):
+                column.append(x)
+        return pa.table(dict(zip(("id", "other", "similarity"), map(np.concatenate, out), strict=True)))
+
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    return _met(m, block, run, "id long, other long, similarity double").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).drop("k")
 
 
 def duplicate_rules(m: DataFrame) -> DataFrame:
@@ -29,10 +92,12 @@ def duplicate_rules(m: DataFrame) -> DataFrame:
     return equal.union(similar_pairs(rules, 0.95).select("a", "b")).distinct()
 
 
-def duplicates(m: DataFrame, cos: float = 0.97, jac: float = 0.85) -> DataFrame:
-    """Pairs of one owner and scope with this cosine and this Jaccard similarity of token sets: a, b."""
+def duplicates(m: DataFrame, cos: float = 0.97, jac: float = 0.85, most: int = 5) -> DataFrame:
+    """Pairs of one owner and scope with this cosine and this Jaccard similarity of token sets, of which one is among the
+    other's `most` nearest: a, b."""
     rows = m.withColumn("scope", F.coalesce(scope_key(F.col("tags")), F.lit("")))
-    pairs = similar_pairs(rows, cos, block=("user_id", "agent_id", "scope"))
+    near = nearest_pairs(rows, most, cos, block=("user_id", "agent_id", "scope"))
+    pairs = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     sets = m.select("id", text.token_set(F.col("content")).alias("s"))
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return both.where(text.jaccard(F.col("sa"), F.col("sb")) >= jac).select("a", "b")
@@ -58,14 +123,16 @@ def is_value_update(a: Column, b: Column) -> Column:
     return (F.least(F.size(x), F.size(y)) >= 4) & (pre >= 2) & (F.greatest(vx, vy) > 0) & (F.greatest(vx, vy) <= 4) & ((pre + suf) / longest >= 0.6) & ~numbers
 
 
-def write_actions(m: DataFrame, update_least: float = 0.3) -> DataFrame:
-    """What writing each row infers about earlier rows (created_at, id) of its owner: action, id, other, weight.
+def write_actions(m: DataFrame, update_least: float = 0.3, most: int = 50) -> DataFrame:
+    """What writing each row infers about earlier rows (created_at, id) of its owner, of which one is among the other's
+    `most` nearest: action, id, other, weight.
 
     deduplicate: equal text and similarity above 0.85; invalidate: a value update, the newer wins unless only the older is
     a correction; relate: similarity in (0.6, 0.85]; supersede: a correction and its nearest earlier row above 0.5.
     """
     kinds = m.select("id", "memory_type", "content", "created_at")
-    pairs = similar_pairs(m, update_least)
+    near = nearest_pairs(m, most, update_least)
+    pairs = near.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.max("similarity").alias("similarity"))
     x, y = kinds.toDF("a", "ta", "ca", "wa"), kinds.toDF("b", "tb", "cb", "wb")
     both = pairs.join(x, "a").join(y, "b")
     newer = F.struct("wb", "b") > F.struct("wa", "a")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed import RRF_K
 from ..functions import text, vector
 from ..functions.scoring import decayed, first_tag, valid_at, visible
+from ..sources.scratch import written
 
 K1, B = 1.2, 0.75
 
@@ -21,31 +22,26 @@ def nearest(m: DataFrame, query: list[float], k: int, metric: str = "cosine") ->
     return m.where(F.size("embedding") == len(query)).select("id", measure(F.col("embedding"), q).alias("distance")).orderBy(F.round("distance", 9), "id").limit(k)
 
 
-def postings(m: DataFrame) -> DataFrame:
-    """id, term, tf of the indexed text."""
-    terms = m.select("id", F.explode(text.tokens(text.indexed_text(F.col("context"), F.col("content")))).alias("term"))
-    return terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
-def _equals(term: str):
-    return lambda w: w == term
+def term_counts(m: DataFrame, terms: list[str]) -> DataFrame:
+    """id, len (tokens of the indexed text) and t0, t1, ... (how often each term occurs): each text is tokenised once, and what
+    reaches the shuffle is one row for each memory."""
+    words = m.select("id", F.explode_outer(text.tokens(text.indexed_text(F.col("context"), F.col("content")))).alias("w"))
+    return words.groupBy("id").agg(F.count("w").alias("len"), *[F.count_if(F.col("w") == t).alias(f"t{i}") for i, t in enumerate(terms)])
 
 
 def bm25(m: DataFrame, query: str, k: int | None = None, candidates: DataFrame | None = None) -> DataFrame:
     """id, score. A repeated query term counts repeatedly; statistics are of all rows, also where candidates restrict the result.
 
-    Only postings of the query's terms are built: documents are reduced to their length and the term frequencies of
-    the few terms asked for, in one pass and without a shuffle of text.
+    Only counts of the query's terms are kept, in one pass over the texts. An empty query, or one of stop words, gives no rows.
     """
     spark = m.sparkSession
     asked = [r[0] for r in spark.createDataFrame([(query,)], "q string").select(F.explode(text.tokens(F.col("q")))).collect()]
     times: dict[str, int] = {}
     for t in asked:
         times[t] = times.get(t, 0) + 1
-    toks = text.tokens(text.indexed_text(F.col("context"), F.col("content")))
-    docs = m.select("id", toks.alias("toks")).select("id", F.size("toks").alias("len"), *[F.size(F.filter("toks", _equals(t))).alias(f"t{i}") for i, t in enumerate(times)])
     if not times:
-        return docs.limit(0).select("id", F.lit(0.0).alias("score"))
+        return m.limit(0).select("id", F.lit(0.0).alias("score"))
+    docs = written(term_counts(m, list(times)), "terms")
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(times))])
     both = docs.join(F.broadcast(stats))  # one row
     score: Column = F.lit(0.0)
@@ -64,11 +60,12 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-def hybrid(m: DataFrame, query_vector: list[float], query_text: str | None, fetch: int) -> DataFrame:
-    """Reciprocal-rank fusion of both legs' top rows: id, score = 0.7 rrf + 0.05 salience + 0.01."""
-    legs = ranked(nearest(m, query_vector, fetch), F.round("distance", 9), F.col("id")).select("id", "rank")
+def hybrid(m: DataFrame, query_vector: list[float], query_text: str | None, fetch: int, pool: DataFrame | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of both legs' top rows: id, score = 0.7 rrf + 0.05 salience + 0.01. Candidates are the rows of
+    `pool`, if given; word statistics are of all rows nevertheless."""
+    legs = ranked(nearest(m if pool is None else pool, query_vector, fetch), F.round("distance", 9), F.col("id")).select("id", "rank")
     if query_text:
-        legs = legs.union(ranked(bm25(m, query_text, fetch), F.desc(F.round("score", 9)), F.col("id")).select("id", "rank"))
+        legs = legs.union(ranked(bm25(m, query_text, fetch, pool), F.desc(F.round("score", 9)), F.col("id")).select("id", "rank"))
     fused = legs.groupBy("id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("rrf"))
     return m.select("id", "salience").join(F.broadcast(fused), "id").select("id", (0.7 * F.col("rrf") + 0.05 * F.coalesce("salience", F.lit(0.5)) + 0.02 * 0.5).alias("score"))
 
@@ -114,13 +111,13 @@ def recall(m: DataFrame, edges: DataFrame, ask: Recall) -> DataFrame:
     """Hybrid recall: candidates by tags and time, fusion of 12 k rows a leg into 3 k, less superseded, hidden and invalid
     rows, then 0.7 x fused + 0.3 x decayed salience, halved for other projects; the best k: id, score."""
     at = ask.now if ask.at is None else ask.at
-    pool = m
+    pool = None
     if ask.tags:
         wanted = F.array(*map(F.lit, ask.tags))
-        pool = pool.where(F.arrays_overlap("tags", wanted) if ask.any_tag else F.forall(wanted, lambda t: F.array_contains(F.col("tags"), t)))
+        pool = m.where(F.arrays_overlap("tags", wanted) if ask.any_tag else F.forall(wanted, lambda t: F.array_contains(F.col("tags"), t)))
     if ask.start is not None and ask.end is not None:
-        pool = pool.where(F.col("created_at").between(ask.start, ask.end))
-    hits = hybrid(pool, ask.vector, ask.text, 12 * ask.k).orderBy(F.desc(F.round("score", 9)), "id").limit(3 * ask.k)
+        pool = (m if pool is None else pool).where(F.col("created_at").between(ask.start, ask.end))
+    hits = hybrid(m, ask.vector, ask.text, 12 * ask.k, pool).orderBy(F.desc(F.round("score", 9)), "id").limit(3 * ask.k)
     rows = m.drop("embedding", "content").join(F.broadcast(hits), "id")
     rows = rows.join(superseded(edges, at), "id", "left_anti")
     rows = rows.where(visible(F.col("user_id"), ask.user) & visible(F.col("agent_id"), ask.agent) & valid_at(F.col("valid_from"), F.col("valid_until"), at))
@@ -162,8 +159,3 @@ def lexical_rerank(hits: DataFrame, m: DataFrame, query: str) -> DataFrame:
     share = F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect("toks", q)) / F.size(q))
     return rows.select("id", (0.5 * F.col("score") + 0.5 * share).alias("score"))
 
-
-def percentile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """The value at place round((n - 1) q) of the sorted values."""
-    values = F.array_sort(F.collect_list(column))
-    return df.agg(F.get(values, F.floor((F.count(column) - 1) * q + 0.5).cast("int")).alias("value"))

@@ -207,7 +207,7 @@ def posting_statistics(spark, d):
 
 def hybrid_sql(fetch: int, where: str = "true") -> str:
     return f"""near AS (SELECT id, row_number() OVER (ORDER BY round(x, 9), id) - 1 AS rank FROM (SELECT id, 1 - {cos_sql('embedding', VECTOR_SQL)} AS x FROM m WHERE len(embedding) = 64 AND {where}) QUALIFY rank < {fetch}),
-{BM25_SQL}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm QUALIFY rank < {fetch}),
+{BM25_SQL}, lex AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm WHERE id IN (SELECT id FROM m WHERE {where}) QUALIFY rank < {fetch}),
 rrf AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (SELECT * FROM near UNION ALL SELECT * FROM lex) GROUP BY id),
 hy AS (SELECT id, 0.7 * rrf + 0.05 * salience + 0.01 AS score FROM rrf JOIN m USING (id))"""
 
@@ -228,7 +228,7 @@ def hybrid_magnitude(spark, d):
 @query(f"""AND {hybrid_sql(120)}, hits AS (SELECT * FROM hy ORDER BY round(score, 9) DESC, id LIMIT 30),
 bad AS (SELECT DISTINCT target FROM e WHERE edge_type IN ('supersedes', 'contradicts') AND (valid_until IS NULL OR {NOW} < valid_until)),
 sc AS (SELECT id, 0.7 * score + 0.3 * {DECAYED_SQL} AS score, [substring(x, 15) for x in tags if starts_with(x, 'scope:project:')][1] AS project
-       FROM hits JOIN m USING (id) WHERE id NOT IN (SELECT target FROM bad) AND user_id IN ('u1', 'u2', 'nil') IS NOT NULL AND user_id IN ('u1', 'nil') AND {VALID_SQL.format('', NOW)}),
+       FROM hits JOIN m USING (id) WHERE id NOT IN (SELECT target FROM bad) AND user_id IN ('u1', 'nil') AND {VALID_SQL.format('', NOW)}),
 fin AS (SELECT id, CASE WHEN project IS NULL OR project = 'p1' THEN score ELSE 0.5 * score END AS score FROM sc)
 SELECT id, round(score, 6) AS score FROM fin ORDER BY round(score, 9) DESC, id LIMIT 10""", edges=True)
 def hybrid_recall_scoped(spark, d):
@@ -236,6 +236,35 @@ def hybrid_recall_scoped(spark, d):
     return retrieval.recall(mem(spark, d, True), T.edges(spark, d), ask).select("id", F.round("score", 6).alias("score"))
 
 
+def recall_sql(where: str = "true", at: int = NOW, owner: str = "true", project: str = "NULL") -> str:
+    return f"""AND {hybrid_sql(120, where)}, hits AS (SELECT * FROM hy ORDER BY round(score, 9) DESC, id LIMIT 30),
+bad AS (SELECT DISTINCT target FROM e WHERE edge_type IN ('supersedes', 'contradicts') AND (valid_until IS NULL OR {at} < valid_until)),
+sc AS (SELECT id, 0.7 * score + 0.3 * {DECAYED_SQL} AS score, [substring(x, 15) for x in tags if starts_with(x, 'scope:project:')][1] AS project
+       FROM hits JOIN m USING (id) WHERE id NOT IN (SELECT target FROM bad) AND {owner} AND {VALID_SQL.format('', at)})
+SELECT id, round(CASE WHEN {project} IS NULL OR project IS NULL OR project = {project} THEN score ELSE 0.5 * score END, 6) AS score FROM sc ORDER BY 2 DESC, id LIMIT 10"""
+
+
+@query(recall_sql("list_has_all(tags, ['en'])"), edges=True)
+def recall_all_tags(spark, d):
+    ask = retrieval.Recall(VECTOR, TEXT, 10, NOW, tags=("en",))
+    return retrieval.recall(mem(spark, d, True), T.edges(spark, d), ask).select("id", F.round("score", 6).alias("score"))
+
+
+@query(recall_sql(f"list_has_any(tags, ['fr', 'scope:project:p1']) AND created_at BETWEEN {T.BASE + 10 * T.HOUR} AND {T.BASE + 900 * T.HOUR}", T.BASE + 600 * T.HOUR, "user_id IN ('u1', 'u2', 'u3', 'nil') AND user_id IN ('u3', 'nil')", "'p2'"), edges=True)
+def recall_any_tag_as_of(spark, d):
+    ask = retrieval.Recall(VECTOR, TEXT, 10, NOW, at=T.BASE + 600 * T.HOUR, user="u3", project="p2", tags=("fr", "scope:project:p1"), any_tag=True, start=T.BASE + 10 * T.HOUR, end=T.BASE + 900 * T.HOUR)
+    return retrieval.recall(mem(spark, d, True), T.edges(spark, d), ask).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""AND near AS (SELECT id, row_number() OVER (ORDER BY round(x, 9), id) - 1 AS rank FROM (SELECT id, 1 - {cos_sql('embedding', VECTOR_SQL)} AS x FROM m WHERE len(embedding) = 64) QUALIFY rank < 120),
+hits AS (SELECT id, 0.7 * (1.0::DOUBLE / (60 + rank)) + 0.05 * salience + 0.01 AS score FROM near JOIN m USING (id) ORDER BY round(0.7 * (1.0::DOUBLE / (60 + rank)) + 0.05 * salience + 0.01, 9) DESC, id LIMIT 30),
+bad AS (SELECT DISTINCT target FROM e WHERE edge_type IN ('supersedes', 'contradicts') AND (valid_until IS NULL OR {NOW} < valid_until))
+SELECT id, round(0.7 * score + 0.3 * {DECAYED_SQL}, 6) AS score FROM hits JOIN m USING (id) WHERE id NOT IN (SELECT target FROM bad) AND agent_id IN ('src1', 'nil') AND {VALID_SQL.format('', NOW)} ORDER BY 2 DESC, id LIMIT 10""", edges=True)
+def recall_similar(spark, d):
+    ask = retrieval.Recall(VECTOR, None, 10, NOW, agent="src1")
+    return retrieval.recall(mem(spark, d, True), T.edges(spark, d), ask).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"""AND near AS (SELECT id, 1 - {cos_sql('embedding', VECTOR_SQL)} AS x FROM m WHERE len(embedding) = 64),
 neg AS (SELECT id, 1 + {cos_sql('embedding', VECTOR_SQL)} AS x FROM m WHERE len(embedding) = 64),
 runs AS (SELECT id, row_number() OVER (ORDER BY round(x, 9), id) - 1 AS rank FROM near QUALIFY rank < 30 UNION ALL SELECT id, row_number() OVER (ORDER BY round(x, 9), id) - 1 AS rank FROM neg QUALIFY rank < 30),
@@ -391,8 +420,10 @@ def duplicate_rules(spark, d):
     return lifecycle.duplicate_rules(mem(spark, d, True))
 
 
-@query(f"""AND {PAIRS_SQL}, s AS (SELECT id, list_distinct({FRAME_SQL.format('content')}) AS w, [x for x in tags if x = 'scope:global' or starts_with(x, 'scope:project:')][1] AS scope FROM m)
-SELECT a, b FROM sim JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE similarity >= 0.1 AND coalesce(x.scope, '') = coalesce(y.scope, '') AND len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) >= 0.05""")
+@query(f"""AND {PAIRS_SQL}, s AS (SELECT id, list_distinct({FRAME_SQL.format('content')}) AS w, coalesce([x for x in tags if x = 'scope:global' or starts_with(x, 'scope:project:')][1], '') AS scope FROM m),
+k AS (SELECT a AS id, b AS other, similarity FROM sim UNION ALL SELECT b, a, similarity FROM sim),
+n AS (SELECT k.id, k.other FROM k JOIN s x ON x.id = k.id JOIN s y ON y.id = k.other AND x.scope = y.scope WHERE similarity >= 0.1 QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY round(similarity, 9) DESC, k.other) <= 5)
+SELECT DISTINCT least(n.id, other) AS a, greatest(n.id, other) AS b FROM n JOIN s x ON x.id = n.id JOIN s y ON y.id = n.other WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) >= 0.05""")
 def duplicate_pairs(spark, d):
     return lifecycle.duplicates(mem(spark, d, True), 0.1, 0.05)
 
@@ -537,10 +568,10 @@ def context_window(spark, d):
     return analytics.packed(context_hits(mem(spark, d)).join(mem(spark, d).select("id", "content"), "id"), 4096)
 
 
-@query("""AND h AS (SELECT id, memory_type, salience, salience AS score FROM m WHERE id % 9 = 0 ORDER BY salience DESC, id LIMIT 40)
+@query("""AND h AS (SELECT id, memory_type, salience, salience AS score FROM m ORDER BY salience DESC, id LIMIT 40)
 SELECT id, CASE WHEN memory_type IN ('anti_pattern', 'correction') THEN 'opening' WHEN score >= 0.8 AND salience >= 0.7 THEN 'critical' WHEN score >= 0.5 THEN 'primary' WHEN score >= 0.2 THEN 'supporting' ELSE 'closing' END AS zone FROM h""")
 def context_zones(spark, d):
-    rows = context_hits(mem(spark, d).where("id % 9 = 0")).join(mem(spark, d), "id")  # every ninth memory, as its SQL has it
+    rows = context_hits(mem(spark, d)).join(mem(spark, d), "id")
     return rows.select("id", analytics.zone(F.col("memory_type"), F.col("score"), F.col("salience")).alias("zone"))
 
 
@@ -555,7 +586,7 @@ def context_delta(spark, d):
     return analytics.delta(m.where("id % 2 = 0"), m.where("id % 3 = 0"))
 
 
-TOPIC_SQL = "tp AS (SELECT conv_id, turn, lower(array_to_string(list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 2), ' ')) AS topic FROM t WHERE role = 'user'), tr AS (SELECT source, target, count(*) AS n FROM (SELECT lag(topic) OVER (PARTITION BY conv_id ORDER BY turn) AS source, topic AS target FROM tp) WHERE source IS NOT NULL GROUP BY source, target)"
+TOPIC_SQL = "tp AS (SELECT conv_id, turn, lower(trim(regexp_replace(CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END, '\\s+', ' ', 'g'))) AS topic FROM t WHERE role = 'user'), tr AS (SELECT source, target, count(*) AS n FROM (SELECT lag(topic) OVER (PARTITION BY conv_id ORDER BY turn) AS source, topic AS target FROM tp) WHERE source IS NOT NULL GROUP BY source, target)"
 
 
 @query(f"AND {TOPIC_SQL} SELECT source, target, n FROM tr -- t ")
