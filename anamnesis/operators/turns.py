@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scoring import first_tag, valid_at, visible
 from ..functions.vector import cosine, literal
-from . import graph
+from . import analytics, graph
 
 # Labels of the zones, in their order.
 ZONE_LABELS = {"opening": "⚠️ Warnings & Corrections", "critical": "🎯 Critical Context", "primary": "📋 Primary Context", "supporting": "📎 Supporting Context", "closing": "🔁 Summary & Reinforcement"}
@@ -273,9 +273,9 @@ def pain_lines(signals: DataFrame, most: int = 5) -> DataFrame:
 
 
 def decayed_pains(signals: DataFrame, now: int) -> DataFrame:
-    """Intensities fade exponentially with hours since they were recorded."""
-    hours = F.greatest(F.lit(0), F.lit(now) - F.col("created_at")) / F.lit(3_600_000_000)
-    return signals.withColumn("intensity", F.col("intensity") * F.exp(-F.col("decay_rate") * hours))
+    """Intensities fade exponentially with the microseconds since they were recorded."""
+    age = F.greatest(F.lit(0), F.lit(now) - F.col("created_at"))
+    return signals.withColumn("intensity", analytics.pain_decayed(F.col("intensity"), F.col("decay_rate"), age))
 
 
 # --- entities, enrichment, summaries, profiles

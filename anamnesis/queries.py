@@ -298,11 +298,14 @@ def mmr_select(spark, d):
     return analytics.diversified(hits, m, 10, 0.7)
 
 
-@query()
+@query(f"""AND h AS (SELECT id, {cos_sql('embedding', VECTOR_SQL)} AS score FROM m WHERE len(embedding) = 64 ORDER BY round(1 - {cos_sql('embedding', VECTOR_SQL)}, 9), id LIMIT 48),
+r AS (SELECT id, score, max(score) OVER () AS best, memory_type, [substring(x, 15) for x in tags if starts_with(x, 'scope:project:')][1] AS project FROM h JOIN m USING (id) WHERE NOT list_has_any(tags, ['turn', 'scope:always'])),
+f AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS k FROM r WHERE project IS NULL OR project = 'p1' OR (memory_type <> 'episodic' AND score >= 0.8 * best))
+SELECT id, round(score, 6) AS score, k AS place FROM f WHERE k <= 3 OR score >= 0.55 * best ORDER BY k LIMIT 12""")
 def inject_select(spark, d):
     m = mem(spark, d, True)
     hits = retrieval.nearest(m, VECTOR, 48).select("id", (1 - F.col("distance")).alias("score"))
-    return analytics.injected(hits, m, VECTOR, "p1", 12)
+    return analytics.injected(hits, m, VECTOR, "p1", 12).select("id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""AND h AS (SELECT id, {cos_sql('embedding', VECTOR_SQL)} AS score FROM m WHERE len(embedding) = 64 ORDER BY round(1 - score, 9), id LIMIT 20),
@@ -360,9 +363,11 @@ def superseded_closure(spark, d):
     return graph.superseded_by(T.edges(spark, d), 93)
 
 
-@query()
+@query("""AND f AS (SELECT source, arg_min(target, (created_at, target)) AS target FROM e WHERE edge_type = 'supersedes' GROUP BY source),
+w AS (SELECT 0 AS depth, 93::BIGINT AS id, [93::BIGINT] AS path UNION ALL SELECT depth + 1, target, list_append(path, target) FROM w JOIN f ON source = id WHERE depth < 10 AND NOT list_contains(path, target))
+SELECT depth::BIGINT AS depth, id FROM w""", edges=True, recursive=True)
 def supersession_history(spark, d):
-    return graph.history(T.edges(spark, d), 93, 10)
+    return graph.history(T.edges(spark, d), 93, 10).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query()
@@ -370,7 +375,9 @@ def belief_propagation(spark, d):
     return graph.believed(T.edges(spark, d), mem(spark, d).select("id", "confidence"), 96).select("id", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(f"""AND g AS (SELECT DISTINCT source, target FROM (SELECT source, target, edge_type FROM e UNION ALL SELECT target, source, edge_type FROM e WHERE source % 20 = 0) WHERE edge_type IN ({q_list(["part_of", "derived", "caused", "supports", "before"])})),
+w AS (SELECT source AS f, target AS l, [source] AS path FROM g WHERE source <= target UNION ALL SELECT f, g.target, list_append(path, l) FROM w JOIN g ON g.source = l WHERE f <> l AND g.target >= f AND NOT list_contains(path, l) AND len(path) < 4)
+SELECT DISTINCT array_to_string(list_sort(path), '>') AS nodes FROM w WHERE f = l""", edges=True, recursive=True)
 def detect_cycles(spark, d):
     e = T.edges(spark, d)
     back = e.select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type", "weight", "created_at", "valid_from", "valid_until").where("target % 20 = 0")
@@ -439,7 +446,11 @@ def write_inference(spark, d):
     return lifecycle.write_actions(mem(spark, d, True), 0.1)
 
 
-@query()
+@query(f"""AND {PAIRS_SQL}, ep AS (SELECT id FROM m WHERE memory_type = 'episodic' AND {NOW} - created_at > {fixed.DAY}),
+p AS (SELECT a, b, similarity FROM sim WHERE a IN (SELECT id FROM ep) AND b IN (SELECT id FROM ep) AND similarity > 0.1), u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(id, c) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.c), l AS (SELECT id, min(c) AS component FROM r GROUP BY id),
+mean AS (SELECT component, avg(similarity) AS similarity FROM p JOIN l ON l.id = p.a GROUP BY component)
+SELECT component, n, round(similarity, 6) AS similarity FROM (SELECT component, count(*) AS n FROM l GROUP BY component HAVING count(*) >= 2) JOIN mean USING (component)""", recursive=True)
 def consolidation_candidates(spark, d):
     m = mem(spark, d, True).withColumn("access_count", F.col("access_count") + 3)
     return lifecycle.clusters(m, 0.1, 2, NOW, written).select("component", "n", F.round("similarity", 6).alias("similarity"))
@@ -464,9 +475,15 @@ def archival_stored(spark, d):
     return lifecycle.decisions(mem(spark, d), NOW, False)
 
 
-@query()
+SENTENCE_SQL = "list_filter(list_transform(string_split(p, '.'), lambda s: trim(s)), lambda s: s <> '')"
+FILLED_SQL = "trim(regexp_replace(list_reduce([s] || [" + q_list(fixed.FILLERS) + "], lambda t, f: CASE WHEN position(f IN lower(t)) > 0 THEN substring(t, 1, position(f IN lower(t)) - 1) || substring(t, position(f IN lower(t)) + length(f)) ELSE t END), '\\s+', ' ', 'g'))"
+
+
+@query(f"""AND k AS (SELECT id, content, flatten(list_transform(string_split(content, chr(10) || chr(10)), lambda p: list_filter({SENTENCE_SQL}, lambda s, i: i = 1 OR {has_any('lower(s)', fixed.KEY_WORDS)}))) AS k FROM m),
+c AS (SELECT id, content, array_to_string(list_distinct(list_filter(list_transform(k, lambda s: {FILLED_SQL}), lambda s: s <> '')), '. ') AS c FROM k)
+SELECT id, length(c) AS length, round(strlen(c) / greatest(strlen(content), 1), 6) AS ratio FROM c""")
 def compress(spark, d):
-    return lifecycle.compressed(mem(spark, d)).select("id", F.length("content").alias("length"), F.round("ratio", 6).alias("ratio"))
+    return lifecycle.compressed(mem(spark, d)).select("id", F.length("content").cast("long").alias("length"), F.round("ratio", 6).alias("ratio"))
 
 
 FACTS_SQL = "f AS (" + " UNION ALL ".join(
@@ -526,7 +543,8 @@ def most_confident_version(spark, d):
     return lifecycle.resolved(versions(spark, d), "keep_highest_confidence")
 
 
-@query()
+@query(f"""AND {VERSIONS_SQL}, v AS (SELECT memory, ts, row_number() OVER (PARTITION BY memory ORDER BY ts, version) AS version FROM ver), a AS (SELECT c_custkey AS memory, 820454400000000 + c_custkey % 1000 * {fixed.DAY} AS t FROM customer)
+SELECT a.memory, a.t, max(v.version) AS version FROM a LEFT JOIN v ON v.memory = a.memory AND v.ts <= a.t GROUP BY a.memory, a.t""")
 def version_as_of(spark, d):
     v = versions(spark, d).withColumn("version", F.row_number().over(Window.partitionBy("memory").orderBy("at", "version")).cast("long"))
     asks = T.table(spark, d, "customer").select(F.col("c_custkey").alias("memory"), (F.lit(820_454_400_000_000) + F.col("c_custkey") % 1000 * fixed.DAY).alias("t"))
@@ -563,9 +581,12 @@ def context_hits(m):
     return m.orderBy(F.desc("salience"), "id").limit(40).select("id", F.col("salience").alias("score"))
 
 
-@query()
+@query("""AND h AS (SELECT id, row_number() OVER (ORDER BY salience DESC, id) AS k, CAST(ceil(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) * 13 / 10) AS BIGINT) AS cost FROM m QUALIFY k <= 40),
+w(k, room, took) AS (SELECT 0::BIGINT, 4096::BIGINT, false UNION ALL SELECT h.k, CASE WHEN cost <= room THEN room - cost ELSE room END, cost <= room FROM w JOIN h ON h.k = w.k + 1)
+SELECT id, row_number() OVER (ORDER BY k) - 1 AS place, cost FROM w JOIN h USING (k) WHERE took""", recursive=True)
 def context_window(spark, d):
-    return analytics.packed(context_hits(mem(spark, d)).join(mem(spark, d).select("id", "content"), "id"), 4096)
+    out = analytics.packed(context_hits(mem(spark, d)).join(mem(spark, d).select("id", "content"), "id"), 4096)
+    return out.withColumn("place", F.col("place").cast("long"))
 
 
 @query("""AND h AS (SELECT id, memory_type, salience, salience AS score FROM m ORDER BY salience DESC, id LIMIT 40)
@@ -638,13 +659,14 @@ def entity_communities(spark, d):
     return analytics.communities(mem(spark, d))
 
 
-@query()
+@query(r"""AND g AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '(\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)+)', 1) || regexp_extract_all(text, '"([^"]{2,40})"', 1))) AS term FROM t )
+SELECT conv_id, turn, term FROM g WHERE lower(trim(regexp_replace(term, '\s+', ' ', 'g'))) <> 'the'""".replace("\\\\", "\\"))
 def knowledge_gaps(spark, d):
     known = spark.createDataFrame([("the",)], "name string")
     return analytics.gaps(T.turns(spark, d), known)
 
 
-@query()
+@query(r"SELECT name, min(name) OVER (PARTITION BY lower(trim(regexp_replace(name, '\s+', ' ', 'g')))) AS canonical, 1.0::DOUBLE AS confidence FROM (SELECT DISTINCT p_name AS name FROM part)")
 def entity_resolution(spark, d):
     names = T.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     aliases = names.groupBy(text.normal(F.col("name")).alias("alias")).agg(F.min("name").alias("canonical"), F.lit(1.0).alias("confidence"))

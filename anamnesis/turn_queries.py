@@ -277,12 +277,12 @@ def phantom_warnings(spark, d):
     return turns.phantom_lines(phantoms(spark, d))
 
 
-PAINS_SQL = f"p AS (SELECT s_suppkey AS signal, s_name AS description, (s_suppkey % 17) / 16.0::DOUBLE * exp(-0.01::DOUBLE * (greatest(0, {NOW} - ({T.BASE} + s_suppkey * {T.HOUR})) / {T.HOUR}::DOUBLE)) AS intensity, [s_name, 'x'] AS triggers FROM supplier)"
+PAINS_SQL = f"p AS (SELECT s_suppkey AS signal, s_name AS description, (s_suppkey % 17) / 16.0::DOUBLE * exp(-2e-13::DOUBLE * greatest(0, {NOW} - ({T.BASE} + s_suppkey * {T.HOUR}))) AS intensity, [s_name, 'x'] AS triggers FROM supplier)"
 
 
 def pains(spark, d):
     s = T.table(spark, d, "supplier")
-    rows = s.select(F.col("s_suppkey").alias("signal"), F.col("s_name").alias("description"), (F.col("s_suppkey") % 17 / 16).alias("intensity"), F.array("s_name", F.lit("x")).alias("triggers"), (F.lit(T.BASE) + F.col("s_suppkey") * T.HOUR).alias("created_at"), F.lit(0.01).alias("decay_rate"))
+    rows = s.select(F.col("s_suppkey").alias("signal"), F.col("s_name").alias("description"), (F.col("s_suppkey") % 17 / 16).alias("intensity"), F.array("s_name", F.lit("x")).alias("triggers"), (F.lit(T.BASE) + F.col("s_suppkey") * T.HOUR).alias("created_at"), F.lit(2e-13).alias("decay_rate"))
     return turns.decayed_pains(rows, NOW)
 
 
