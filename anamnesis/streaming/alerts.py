@@ -90,7 +90,10 @@ class Gather(StatefulProcessor):
                     before, held = "", []
         # read once, written once for each batch: linear in the tokens
         self.before.update((before + "".join(held[:-RING]),))
-        self.ring.put([(t,) for t in held[-RING:]])
+        if held:
+            self.ring.put([(t,) for t in held[-RING:]])
+        else:
+            self.ring.clear()
 
     def close(self) -> None:
         pass
