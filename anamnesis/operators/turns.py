@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scoring import first_tag, valid_at, visible
 from ..functions.vector import cosine, literal
+from ..sources.scratch import written
 from . import analytics, graph
 
 # Labels of the zones, in their order.
@@ -203,19 +204,27 @@ def ghosts(t: DataFrame, speculation: list[str], actions: DataFrame) -> DataFram
 # --- speculative cache: topic, created_at, last_accessed, hit_count, ids
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the lower-cased, blank-separated words of two texts."""
-    return text.jaccard(F.array_distinct(text.words(F.lower(a))), F.array_distinct(text.words(F.lower(b))))
-
-
 def cache_hits(asks: DataFrame, cache: DataFrame, least: float = 0.5) -> DataFrame:
     """For each ask (ask, query) the cached topic with the most words in common, above `least`; ties to the older entry, then the
-    lesser topic: ask, topic, score. Asks meet only topics that share a word."""
-    q = asks.select("ask", "query", F.explode(F.array_distinct(text.words(F.lower("query")))).alias("w"))
-    c = cache.select("topic", "created_at", F.explode(F.array_distinct(text.words(F.lower("topic")))).alias("w"))
-    met = q.join(c, "w").select("ask", "query", "topic", "created_at").distinct().withColumn("score", overlap(F.col("query"), F.col("topic")))
-    w = Window.partitionBy("ask").orderBy(F.desc("score"), "created_at", "topic")
-    return met.where(F.col("score") > least).withColumn("k", F.row_number().over(w)).where("k = 1").select("ask", "topic", "score")
+    lesser topic: ask, topic, score. Texts meet only by the rarest of their words, of which two texts that are similar
+    enough must share one: n - ceil(least x n) + 1 of n words."""
+    words = F.array_distinct(text.words(F.lower("text")))
+    asked = asks.select(F.col("query").alias("text")).distinct().withColumns({"words": words, "asked": F.lit(True)})
+    held = cache.select(F.col("topic").alias("text")).distinct().withColumns({"words": words, "asked": F.lit(False)})
+    each = asked.union(held).select("text", "words", "asked", F.explode("words").alias("w"))
+    count = each.groupBy("w").agg(F.count("*").alias("c"))
+    order = each.join(count, "w").groupBy("text", "asked").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("ws"))
+    most = F.size("ws") - F.ceil(F.size("ws") * F.lit(least)).cast("int") + 1
+    rare = written(order.select("text", "asked", F.transform("ws", lambda x: x["w"]).alias("words"), F.explode(F.slice("ws", 1, most)).alias("x")).select("text", "asked", "words", F.col("x.w").alias("w")), "rare")
+    q = rare.where("asked").select(F.col("text").alias("query"), F.col("words").alias("a"), "w")
+    c = rare.where("NOT asked").select(F.col("text").alias("topic"), F.col("words").alias("b"), "w")
+    short = F.least(F.size("a"), F.size("b")) >= least * F.greatest(F.size("a"), F.size("b"))
+    near = q.join(c, "w").where(short).select("query", "topic", text.jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") > least).distinct()
+    met = near.join(cache.select("topic", "created_at"), "topic")
+    first = [F.desc("score"), F.col("created_at"), F.col("topic")]
+    best = met.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(*first))).where("k = 1").drop("k")
+    every = asks.join(best, "query")  # an ask may have several queries
+    return every.withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy(*first))).where("k = 1").select("ask", "topic", "score")
 
 
 def accessed(cache: DataFrame, hits: DataFrame, now: int) -> DataFrame:
