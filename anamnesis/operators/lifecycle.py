@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..fixed import DAY, FACT_PATTERNS, KEY_WORDS
 from ..functions import text
 from ..functions.scoring import archival, decayed, scope_key
-from ..functions.vector import cosine
 
 
 #: Rows of one owner that meet in one task, about twice: an owner with more is split, and every two of its blocks meet.

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import fixed
-from .functions import text
-from .operators import analytics, lifecycle, retrieval, turns, upkeep
+from .operators import analytics, lifecycle, retrieval, turns
 from .queries import BM25_SQL, NOW, TEXT, TOPIC_SQL, VECTOR, VECTOR_SQL, cos_sql, has_any, mem, query
 from .sources import tables as T
 
@@ -129,14 +128,15 @@ def entity_boost(spark, d):
 MODES_SQL = f"""mm AS (SELECT id, embedding, user_id, valid_from, valid_until, CASE WHEN id % 5 = 0 THEN 'a' WHEN id % 5 = 1 THEN 'b' END AS rule, CASE WHEN id % 7 = 2 THEN 'b' END AS exemplar FROM m WHERE len(embedding) = 64 OR id % 5 < 2)"""
 
 
-@query(f"""AND {MODES_SQL}, v AS (SELECT *, CASE WHEN len(embedding) = 64 THEN {cos_sql('embedding', VECTOR_SQL)} END AS near FROM mm WHERE (coalesce(valid_from, 0) <= {NOW} AND (valid_until IS NULL OR {NOW} < valid_until))),
+@query(f"""AND {MODES_SQL}, v AS (SELECT *, CASE WHEN len(embedding) = 64 THEN {cos_sql('embedding', 'qv')} END AS near FROM mm, (SELECT embedding AS qv FROM m WHERE id = 5) WHERE (coalesce(valid_from, 0) <= {NOW} AND (valid_until IS NULL OR {NOW} < valid_until))),
 md AS (SELECT 'a' AS mode, (SELECT max(near) FROM v WHERE rule = 'a') AS act UNION ALL SELECT 'b', (SELECT max(near) FROM v WHERE exemplar = 'b'))
 SELECT v.id, round(act, 6) AS activation FROM v JOIN md ON rule = mode WHERE act >= 0.40 ORDER BY round(act, 9) DESC, v.id LIMIT 4""")
 def rule_activation(spark, d):
-    """Two modes, one with exemplars; the query is the vector of a memory near the test vector, so that a mode is active."""
+    """Two modes, one with exemplars; the query is the vector of a rule of the other, which is so active."""
     m = mem(spark, d, True).where("size(embedding) = 64 OR id % 5 < 2")
     tags = F.filter(F.array(F.when(F.col("id") % 5 == 0, "trigger:a").when(F.col("id") % 5 == 1, "trigger:b"), F.when(F.col("id") % 7 == 2, "mode-exemplar:b")), lambda t: t.isNotNull())
-    return turns.activated_rules(m.withColumn("tags", tags), VECTOR, NOW).select("id", F.round("activation", 6).alias("activation"))
+    asked = list(m.where("id = 5").select("embedding").first()[0])
+    return turns.activated_rules(m.withColumn("tags", tags), asked, NOW).select("id", F.round("activation", 6).alias("activation"))
 
 
 @query("SELECT x.id AS a, y.id AS b, 'Note: Memory A: \"' || x.content || '\" (created ' || x.created_at || '), Memory B: \"' || y.content || '\" (created ' || y.created_at || '). Do not confuse.' AS note FROM m x JOIN m y ON y.id = x.id + 1 WHERE x.id % 3 = 0")
