@@ -151,6 +151,18 @@ def without_types(e: DataFrame, types: list[str]) -> DataFrame:
     return e.where(~F.col("edge_type").isin(types))
 
 
+def outgoing(e: DataFrame, node: int, at: int | None = None) -> DataFrame:
+    """Edges out of the node, at an instant those that hold then."""
+    own = e.where(F.col("source") == node)
+    return own if at is None else valid(own, at)
+
+
+def incoming(e: DataFrame, node: int, at: int | None = None) -> DataFrame:
+    """Edges into the node, at an instant those that hold then."""
+    own = e.where(F.col("target") == node)
+    return own if at is None else valid(own, at)
+
+
 def type_counts(e: DataFrame) -> DataFrame:
     return e.groupBy("edge_type").agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from anamnesis import turn_queries, upkeep_queries  # noqa: F401
+from anamnesis import source_queries, turn_queries, upkeep_queries  # noqa: F401
 from anamnesis.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
