@@ -51,7 +51,7 @@ def agent_file_chunks(spark, d):
 
 
 @query("""AND a AS (SELECT conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content, turn % 2 = 0 AS named FROM t )
-SELECT conv_id, turn, 0 AS part, role AS section, content, CASE turn % 3 WHEN 0 THEN 'procedural' WHEN 1 THEN 'anti_pattern' ELSE 'semantic' END AS memory_type, concat('section:', role, CASE WHEN named THEN ',trigger:reply-style' ELSE '' END) AS tags FROM a WHERE strlen(content) >= 12
+SELECT conv_id, turn, 0 AS part, role AS section, left(content, list_max(list_filter(range(1, 1801), lambda k: strlen(left(content, k)) <= 1800))) AS content, CASE turn % 3 WHEN 0 THEN 'procedural' WHEN 1 THEN 'anti_pattern' ELSE 'semantic' END AS memory_type, concat('section:', role, CASE WHEN named THEN ',trigger:reply-style' ELSE '' END) AS tags FROM a WHERE strlen(content) >= 12
 UNION ALL SELECT conv_id, turn, 1, '', concat('as ', role), 'semantic', 'mode-exemplar:reply-style' FROM a WHERE strlen(content) >= 12 AND named""")
 def model_answers(spark, d):
     """Each turn as the one element of an answer with prose around it; every fifth answer is cut off inside its next element."""
