@@ -23,9 +23,12 @@ from .common import blocks, labelled_sample, row_of, span_hashes, words, written
 SPAN, DECAY, SYMBOLS = 7, 0.6, 64
 #: Symbol that stands before a string.
 BEGIN = 63
+#: Stands before a part that goes on within a string, and so has no beginning; no word holds this blank.
+MORE = "\x0b"
 #: Letters of one instance; a longer word is read in overlapping parts.
 WIDTH = 24
-#: Labelled texts of each label that are learned from, at most about; words and landmarks of the training.
+#: Labelled texts of each label that are learned from, at most about; clean words of the first training (later ones add
+#: counterexamples from all words of those texts); landmarks.
 SAMPLE, WORDS, LANDMARKS = 5000, 12_000, 400
 MEMO = 1 << 20
 #: Rounds of choosing witnesses and training again.
@@ -67,6 +70,7 @@ def matrix(strings: list[str] | str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     stop = points == 10
     sym = symbol_table()[points]
     sym[stop] = BEGIN
+    sym[:-1][stop[:-1] & (points[1:] == ord(MORE))] = 0
     owner = np.cumsum(stop) - 1
     keep = sym > 0
     sym, owner = sym[keep], owner[keep]
@@ -92,11 +96,19 @@ def occurrences(grid: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield np.where(c > 0, (a * SYMBOLS + b) * SYMBOLS + c, 0), DECAY ** (k + 1)
 
 
-def describe(strings: list[str]) -> np.ndarray:
-    """Dense descriptions would be large; this gives (rows, codes, weights) of all occurrences of each string's first part."""
+def pieces(word: str) -> list[str]:
+    """The overlapping parts that `matrix` cuts a string of letters and digits into: each is an instance of its own."""
+    if len(word) < WIDTH:
+        return [word]
+    return [word[: WIDTH - 1]] + [MORE + word[at - 1 : at - 1 + WIDTH] for at in range(WIDTH // 2, len(word) + 1 - WIDTH // 2, WIDTH // 2)]
+
+
+def describe(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense descriptions would be large; this gives (rows, codes, weights) of all occurrences of strings of one part each."""
     grid, length, who = matrix(strings)
-    one = np.concatenate([[True], who[1:] != who[:-1]])
-    grid, scale = grid[one], 1 / norms(length[one])
+    if len(grid) != len(strings):
+        raise ValueError(f"a string of more than {WIDTH} letters is to be cut into pieces first")
+    scale = 1 / norms(length)
     rows, codes, weights = [], [], []
     for code, weight in occurrences(grid):
         r, p = np.nonzero(code)
@@ -173,6 +185,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a * top[:, 0] + b * top[:, 1] + c, -50, 50)))
 
 
+def _plain(word: bytes) -> str:
+    """The letters and digits of a word, in lower case."""
+    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
+
+
 def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     return total[ends] - total[starts]
@@ -256,8 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                 name = span_hashes(data, starts, ends)
                 _, one = np.unique(name + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
                 raw = data.tobytes()
-                text = ["".join(c for c in raw[a:b].decode("utf-8", "replace").lower() if c.isalnum()) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(y[lo + row[one]].astype(np.int32))], names=["word", "y"])
+                text = [_plain(raw[a:b]) for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+                cut = sorted({(r, p) for r, t in zip(row[one].tolist(), text, strict=True) for p in pieces(t)})
+                label = y[lo + np.array([r for r, _ in cut], np.int64)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([p for _, p in cut], pa.string()), pa.array(label)], names=["word", "y"])
 
     counted = some.select("t", "y").mapInArrow(distinct, "word string, y int").where("length(word) > 2").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     counted = written(counted, "words")
@@ -269,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     uneven = F.col("bad") * F.log(F.greatest(F.col("bad"), F.lit(1e-9)) / seen_in / base) + F.col("good") * F.log(F.greatest(F.col("good"), F.lit(1e-9)) / seen_in / (1 - base))
     ranked = counted.withColumns({"z": uneven, "over": F.col("bad") / seen_in > base})
     least = float(np.log(max(2, counted.count())))
-    marked = ranked.where(F.col("over") & (F.col("bad") > 2 * base * seen_in / (1 + base)) & (F.col("z") >= least)).orderBy(F.desc("z"), "word").limit(WORDS // 4).toPandas()
+    marked = ranked.where(F.col("over") & (F.col("bad") > 2 * base * seen_in / (1 + base)) & (F.col("z") >= least)).orderBy(F.desc("z"), "word").toPandas()
     clean = ranked.where((F.col("good") >= 1) & ~(F.col("over") & (F.col("z") >= least / 2))).orderBy(F.xxhash64("word"), "word").limit(WORDS).toPandas()
     if not len(marked) or not len(clean):
         return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, (0.0, 0.0, float(np.log(n1 / n0))))
@@ -292,8 +311,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                     nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
                     pick = order[nth < np.where(label[lo + row[order]] == 1, 2, 8)]
                     raw = data.tobytes()
-                    text = ["".join(c for c in raw[a:b].decode("utf-8", "replace").lower() if c.isalnum()) for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(label[lo + row[pick]].astype(np.int32)), pa.array(margin[pick].astype(np.float64))], names=["word", "y", "margin"])
+                    text, y, m = [], [], []
+                    for a, b, toxic, value in zip(starts[pick].tolist(), ends[pick].tolist(), label[lo + row[pick]].tolist(), margin[pick].tolist(), strict=True):
+                        cut, values = pieces(_plain(raw[a:b])), [value]
+                        if len(cut) > 1:  # a toxic text's word is borne out by its most toxic part, a clean one's by none
+                            values = shared.value.score("\n".join(cut)).tolist()
+                            if toxic:
+                                values, cut = map(list, zip(max(zip(values, cut, strict=True)), strict=True))
+                        text, y, m = text + cut, y + [toxic] * len(cut), m + values
+                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(y, pa.int32()), pa.array(m, pa.float64())], names=["word", "y", "margin"])
 
         seen = some.select("t", "y").mapInArrow(witnesses, "word string, y int, margin double").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.max("margin").alias("margin")).toPandas()
         seen = seen[seen.word.str.len() > 2]

@@ -385,6 +385,31 @@ def test_toxicity_tolerates_gaps(spark):
     assert kept.columns == table(spark, []).columns and {r.doc_id for r in kept.collect()} == {i for i in range(300) if got[i].predicted == 0}
 
 
+def test_pieces_are_the_parts_that_are_scored():
+    letters = "".join(chr(97 + i % 26) for i in range(100))
+    for n in (1, 3, 23, 24, 25, 36, 37, 60, 100):
+        whole, parts = toxicity.matrix([letters[:n]]), toxicity.matrix(toxicity.pieces(letters[:n]))
+        assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+        assert parts[2].tolist() == list(range(len(parts[0])))
+    with pytest.raises(ValueError):
+        toxicity.describe([letters])
+
+
+def test_toxicity_is_learned_from_all_of_a_long_word(spark):
+    """Insults that stand only behind the first 24 letters of unspaced strings, which recur."""
+    rng = random.Random(28)
+    heads = ["".join(prose(rng, 8).split())[:40] for _ in range(3)]
+    texts, marks = [], []
+    for i in range(300):
+        w = prose(rng, 30).split()
+        w[rng.randrange(30)] = rng.choice(heads) + rng.choice(["worthless", "pathetic"] if i % 4 == 0 else ["wonderful", "sympathy"])
+        texts.append(" ".join(w))
+        marks.append((i, int(i % 4 == 0)))
+    machine = toxicity.fit(table(spark, texts), spark.createDataFrame(marks, "doc_id long, toxic int"), ann.F.col("doc_id") >= 0)
+    got = {r.doc_id: r.predicted for r in toxicity.score(table(spark, texts), machine).collect()}
+    assert np.mean([got[i] == y for i, y in marks]) > 0.95
+
+
 def test_quality(spark):
     rng = random.Random(9)
     texts = [prose(rng, 150) if i % 3 else " ".join(x.upper() + "!!" for x in prose(rng, 20).split()) for i in range(240)]
