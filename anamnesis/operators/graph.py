@@ -109,25 +109,46 @@ def cycles(e: DataFrame, types: list[str], longest: int) -> DataFrame:
 
 
 def believed(e: DataFrame, confidence: DataFrame, node: int, depth: int = 5) -> DataFrame:
-    """Belief propagation, level by level: id, confidence of the changed nodes, the start's included.
-
-    confidence: id, confidence. Caused: c w 0.9. Supports: clamp(cur + (c - 1) w 0.5). Contradicts: clamp(cur - c w 0.7).
-    Supersedes: min(cur, 0.1 c). Other edges stop. A node is entered once; of several edges of one level into it, the last
-    by (created_at, source) sets its value.
+    """Belief propagation, breadth first from one node (its confidence in id, confidence): id, confidence of the changed
+    nodes, the start's included; nothing if the node has no confidence.
+
+    Caused: c w 0.9. Supports: clamp(cur + (c - 1) w 0.5). Contradicts: clamp(cur - c w 0.7). Supersedes: min(cur, 0.1 c).
+    Other edges stop. A node begins at 1; the first edge into it gives the value c that it passes on, up to `depth` steps
+    from the start; every edge passed changes its confidence, the start's too. A node's out-edges are passed by (created_at,
+    target, edge_type, weight), the nodes of a level in the order in which they were entered. The edges passed into one
+    node are folded in one task.
     """
+
+    def turned(cur, kind, c, w):
+        support, against = cur + (c - 1) * w * 0.5, cur - c * w * 0.7
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(kind == "supports", support).otherwise(against)))
+        return F.when(kind == "caused", c * w * 0.9).when(kind == "supersedes", F.least(cur, c * 0.1)).otherwise(held)
+
     e = of_types(e, ["caused", "supports", "contradicts", "supersedes"])
-    now = confidence.where(F.col("id") == node)
-    seen = now
-    for _ in range(depth):
-        c, w, cur = F.col("c"), F.col("weight"), F.col("confidence")
-        new = F.expr("CASE edge_type WHEN 'caused' THEN c * weight * 0.9 WHEN 'supports' THEN confidence + (c - 1) * weight * 0.5 WHEN 'contradicts' THEN confidence - c * weight * 0.7 ELSE least(confidence, c * 0.1) END")
-        step = now.select(F.col("id").alias("source"), F.col("confidence").alias("c")).join(e, "source").join(confidence.withColumnRenamed("id", "target"), "target")
-        step = step.select(F.col("target").alias("id"), "created_at", "source", F.least(F.lit(1.0), F.greatest(F.lit(0.0), new)).alias("v")).join(seen.select("id"), "id", "left_anti")
-        now = written(step.groupBy("id").agg(F.max_by("v", F.struct("created_at", "source")).alias("confidence")), "beliefs")
+    step = F.struct("created_at", "target", "edge_type", F.col("weight").cast("double").alias("weight"))
+    start = confidence.where(F.col("id") == node).select("id", F.col("confidence").cast("double").alias("own"))
+    first = e.select(F.array(step).alias("path")).schema["path"].dataType
+    now = start.select("id", F.col("own").alias("c"), F.array().cast(first).alias("path"))
+    seen, passed = start.select("id"), None
+    for level in range(depth):
+        new = now.join(e, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.lit(level).alias("level"), F.concat("path", F.array(step)).alias("path"), "c")
+        new = written(new, "passed")
+        passed = new if passed is None else passed.union(new)
+        entered = new.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("path", "c")).alias("f")).select("id", "f.*")
+        last = F.element_at("path", -1)
+        now = written(entered.select("id", turned(F.lit(1.0), last["edge_type"], F.col("c"), last["weight"]).alias("c"), "path"), "beliefs")
         if not now.limit(1).count():
             break
-        seen = seen.union(now)
-    return seen
+        seen = seen.union(now.select("id"))
+    if passed is None:
+        return start.withColumnRenamed("own", "confidence")
+    edges = passed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("level", "path", "c"))).alias("into")).join(start, "id", "full")
+
+    def fold(cur, x):
+        last = F.element_at(x["path"], -1)
+        return turned(cur, last["edge_type"], x["c"], last["weight"])
+
+    return edges.select("id", F.aggregate(F.coalesce("into", F.array()), F.coalesce("own", F.lit(1.0)), fold).alias("confidence"))
 
 
 def added(e: DataFrame, new: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

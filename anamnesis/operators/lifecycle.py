@@ -118,7 +118,7 @@ def is_value_update(a: Column, b: Column) -> Column:
     vx, vy = F.size(x) - pre - suf, F.size(y) - pre - suf
     longest = F.greatest(F.size(x), F.size(y))
     middle = F.concat(F.slice(x, pre + 1, vx), F.slice(y, pre + 1, vy))
-    numbers = (suf > 0) & F.forall(middle, lambda w: F.regexp_like(w, F.lit(r"^\p{N}+$")))
+    numbers = (suf > 0) & F.forall(middle, lambda w: F.regexp_like(w, F.lit("^[0-9]+$")))
     return (F.least(F.size(x), F.size(y)) >= 4) & (pre >= 2) & (F.greatest(vx, vy) > 0) & (F.greatest(vx, vy) <= 4) & ((pre + suf) / longest >= 0.6) & ~numbers
 
 
@@ -126,8 +126,9 @@ def write_actions(m: DataFrame, update_least: float = 0.3, most: int = 50) -> Da
     """What writing each row infers about earlier rows (created_at, id) of its owner, of which one is among the other's
     `most` nearest: action, id, other, weight.
 
-    deduplicate: equal text and similarity above 0.85; invalidate: a value update, the newer wins unless only the older is
-    a correction; relate: similarity in (0.6, 0.85]; supersede: a correction and its nearest earlier row above 0.5.
+    deduplicate: equal text, written later, and similarity above 0.85; invalidate: a value update, where a correction wins
+    over other kinds, else the newer (two written at one instant both stay); relate: similarity in (0.6, 0.85]; supersede: a
+    correction and its nearest earlier row above 0.5 that is no value update of it (ties: the smaller id).
     """
     kinds = m.select("id", "memory_type", "content", "created_at")
     near = nearest_pairs(m, most, update_least)
@@ -137,13 +138,15 @@ def write_actions(m: DataFrame, update_least: float = 0.3, most: int = 50) -> Da
     newer = F.struct("wb", "b") > F.struct("wa", "a")
     new, old = F.when(newer, F.col("b")).otherwise(F.col("a")), F.when(newer, F.col("a")).otherwise(F.col("b"))
     kn, ko = F.when(newer, F.col("tb")).otherwise(F.col("ta")), F.when(newer, F.col("ta")).otherwise(F.col("tb"))
-    rows = both.select(new.alias("id"), old.alias("other"), kn.alias("kind"), ko.alias("old_kind"), "similarity", (F.col("ca") == F.col("cb")).alias("equal"), is_value_update(F.col("ca"), F.col("cb")).alias("update"))
-    loser_new = (F.col("old_kind") == "correction") & (F.col("kind") != "correction")
+    rows = both.select(new.alias("id"), old.alias("other"), kn.alias("kind"), ko.alias("old_kind"), "similarity", (F.col("ca") == F.col("cb")).alias("equal"), F.coalesce(is_value_update(F.col("ca"), F.col("cb")), F.lit(False)).alias("update"), F.col("wa").eqNullSafe(F.col("wb")).alias("tie"))
+    corrects, corrected = F.col("kind").eqNullSafe("correction"), F.col("old_kind").eqNullSafe("correction")
     single = rows.select(
-        F.when(F.col("equal") & (F.col("similarity") > 0.85), "deduplicate").when(F.col("update"), F.when(loser_new, "invalidate_new").otherwise("invalidate")).when((F.col("similarity") > 0.6) & (F.col("similarity") <= 0.85), "relate").alias("action"),
+        F.when(F.col("equal") & ~F.col("tie") & (F.col("similarity") > 0.85), "deduplicate")
+        .when(F.col("update"), F.when(corrected & ~corrects, "invalidate_new").when(~F.col("tie") | (corrects & ~corrected), "invalidate"))
+        .when((F.col("similarity") > 0.6) & (F.col("similarity") <= 0.85), "relate").alias("action"),
         "id", "other", F.round("similarity", 6).alias("weight"),
     ).where("action IS NOT NULL")
-    nearest = rows.where("kind = 'correction' AND similarity > 0.5").groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("n"))
+    nearest = rows.where("kind = 'correction' AND NOT update AND similarity > 0.5").groupBy("id").agg(F.max(F.struct("similarity", (-F.col("other")).alias("o"))).alias("n"))
     return single.union(nearest.select(F.lit("supersede"), "id", -F.col("n.o"), F.round("n.similarity", 6)))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text
-from anamnesis.operators import analytics, lifecycle, retrieval, turns
+from anamnesis.operators import analytics, graph, lifecycle, retrieval, turns
 from anamnesis.streaming import alerts
 
 ROW = "id long, user_id string, agent_id string, embedding array<double>"
@@ -135,3 +135,69 @@ def test_tokens_gather_by_session(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("gathered").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.text for r in spark.table("gathered").collect()) == sorted(["".join(f"{i} " for i in range(1500)), "again"])
+
+
+def propagate(edges, node, start, depth=5):
+    value, queue, met = {node: start}, [(node, start, 0)], {node}
+    for at, c, level in queue:
+        if level == depth:
+            continue
+        for _, to, kind, w in sorted((t, b, k, w) for a, b, k, w, t in edges if a == at):
+            cur = value.get(to, 1.0)
+            if kind == "caused":
+                cur = c * w * 0.9
+            elif kind == "supersedes":
+                cur = min(cur, c * 0.1)
+            elif kind in ("supports", "contradicts"):
+                cur += (c - 1) * w * 0.5 if kind == "supports" else -c * w * 0.7
+                cur = min(1.0, max(0.0, cur))
+            else:
+                continue
+            value[to] = cur
+            if to not in met:
+                met.add(to)
+                queue.append((to, cur, level + 1))
+    return value
+
+
+def test_believed(spark):
+    rng = random.Random(5)
+    form = "source long, target long, edge_type string, weight double, created_at long"
+    confidence = spark.createDataFrame([(i, 0.2 + i / 50) for i in range(30)] + [(None, 0.5)], "id long, confidence double")
+    chain = [(i, i + 1, "caused", 1.0, 0) for i in range(9)]
+    several = [(0, 1, "supports", 0.9, 1), (0, 1, "contradicts", 0.5, 2), (0, 1, "contradicts", 0.5, 2), (1, 0, "supersedes", 1.0, 3), (0, 2, "related", 1.0, 1)]
+    dense = [(rng.randrange(25), rng.randrange(25), rng.choice(["caused", "supports", "contradicts", "supersedes", "before"]), rng.randint(1, 10) / 10, rng.randint(0, 5)) for _ in range(90)]
+    for edges, node in ((chain, 0), (several, 0), (dense, 3), ([], 4)):
+        got = {r.id: r.confidence for r in graph.believed(spark.createDataFrame(edges, form), confidence, node).collect()}
+        want = propagate(edges, node, 0.2 + node / 50)
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    assert graph.believed(spark.createDataFrame(chain, form), confidence, 99).count() == 0
+
+
+def test_write_actions(spark):
+    near, far = [1.0, 0.0], [0.7, 0.714]
+    rows = [
+        (1, "fact", "my phone number is 1234", 1, near, "a"),
+        (2, "fact", "my phone number is 4321", 2, near, "a"),  # the newer value
+        (3, "fact", "same words", 1, near, "b"),
+        (4, "fact", "same words", 2, near, "b"),  # a copy
+        (5, "fact", "favourite city is now Rome", 1, near, "c"),
+        (6, "fact", "favourite city is now Oslo", 1, near, "c"),  # of one instant: both stay
+        (7, "correction", "the best coffee is black", 1, near, "d"),
+        (8, "fact", "the best coffee is white", 2, near, "d"),  # loses against the earlier correction
+        (9, "fact", "a walk", 1, far, "e"),
+        (10, "fact", "one more thing", 2, near, "e"),  # similarity 0.7
+        (11, "fact", "our team meets at noon", 1, near, "f"),
+        (12, "fact", "lunch", 2, far, "f"),
+        (13, "correction", "our team meets at ten", 3, near, "f"),  # updates 11, supersedes the nearest other
+        (14, "fact", "same words", 5, near, "g"),
+        (15, "fact", "same words", 5, near, "g"),  # a copy of the same instant
+        (16, "fact", "see room 2 on friday", 1, near, "h"),
+        (17, "fact", "see room 5 on friday", 2, near, "h"),  # two rooms, no update
+        (18, None, None, None, near, "i"),
+        (19, "fact", "nothing else here", 1, near, "i"),
+    ]
+    m = spark.createDataFrame(rows, "id long, memory_type string, content string, created_at long, embedding array<double>, user_id string").withColumn("agent_id", F.lit("x"))
+    got = sorted((r.action, r.id, r.other) for r in lifecycle.write_actions(m).collect())
+    assert got == [("deduplicate", 4, 3), ("invalidate", 2, 1), ("invalidate", 13, 11), ("invalidate_new", 8, 7), ("relate", 10, 9), ("relate", 12, 11), ("relate", 13, 12), ("supersede", 13, 12)]
+    assert lifecycle.write_actions(m.limit(0)).count() == 0
