@@ -85,3 +85,24 @@ def indexed_text(context: Column, content: Column) -> Column:
 def normal(text: Column) -> Column:
     """Lower-cased with single spaces."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+# Offset basis and prime of the 64-bit FNV-1a hash.
+FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+
+
+def fnv_from(c: Column, state: int) -> Column:
+    """FNV-1a, begun at a state, of a text's bytes: the upper and the lower 32 bits of the hash, so that no product overflows."""
+    digits, low = F.hex(F.encode(c, "UTF-8")), (1 << 32) - 1
+    size = F.octet_length(c)
+    places = F.when(size > 0, F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    bytes_ = F.transform(places, lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(h: Column, b: Column) -> Column:
+        # the prime is 2^40 and its lower bits: the former moves the lower half into the upper one by 8 bits
+        x = h["lo"].bitwiseXOR(b)
+        product = x * (FNV_PRIME & low)
+        upper = h["hi"] * (FNV_PRIME & low) + F.shiftleft(x, 8) + F.shiftright(product, 32)
+        return F.struct(upper.bitwiseAND(F.lit(low)).alias("hi"), product.bitwiseAND(F.lit(low)).alias("lo"))
+
+    return F.aggregate(bytes_, F.struct(F.lit(state >> 32).cast("long").alias("hi"), F.lit(state & low).cast("long").alias("lo")), step)

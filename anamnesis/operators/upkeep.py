@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scoring import scope_key
+from ..functions.text import FNV_BASIS, FNV_PRIME
 from .lifecycle import components
 
 # What each permission of a space grants.
@@ -59,9 +60,20 @@ def allowed(asks: DataFrame, spaces: DataFrame, entries: DataFrame) -> DataFrame
 
 
 def rendezvous(keys: DataFrame, nodes: list[str]) -> DataFrame:
-    """The node of the highest hash for each key (highest random weight): key, node. Nodes are few, and given by name."""
-    weights = F.array(*[F.struct(F.xxhash64(F.lit(n), F.col("key")).alias("w"), F.lit(n).alias("node")) for n in nodes])
-    return keys.select("key", F.array_max(weights)["node"].alias("node"))
+    """The node of the highest hash for each key (highest random weight; ties: the later name): key, node, null for a null key
+    or without nodes. The hash is FNV-1a of the node's name, byte 0x1F and the key's text, the same on every machine. Nodes
+    are few, and given by name, so their part of the hash is a constant."""
+    if not nodes:
+        return keys.select("key", F.lit(None).cast("string").alias("node"))
+
+    def weight(node: str) -> Column:
+        state = FNV_BASIS
+        for byte in node.encode() + b"\x1f":
+            state = (state ^ byte) * FNV_PRIME % 2**64
+        return text.fnv_from(F.col("key").cast("string"), state)
+
+    best = F.array_max(F.array(*[F.struct(weight(n).alias("w"), F.lit(n).alias("node")) for n in nodes]))
+    return keys.select("key", F.when(F.col("key").isNotNull(), best["node"]).alias("node"))
 
 
 def thresholds(probes: DataFrame) -> DataFrame:

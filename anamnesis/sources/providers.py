@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FNV_BASIS, FNV_PRIME
+
 
 class Embedder(Protocol):
     dimension: int
@@ -37,10 +39,6 @@ class HashEmbedder:
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
-# Offset basis and prime of the 64-bit FNV-1a hash.
-FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-
-
 def fnv(state: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """FNV-1a of each text from each of the states: texts x states. Byte i of all texts that have one is mixed in at once."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))

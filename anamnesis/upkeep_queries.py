@@ -53,7 +53,10 @@ def space_access(spark, d):
     return upkeep.allowed(asks, own, entries)
 
 
-@query()
+@query("""AND n AS (SELECT unnest(['n1', 'n2', 'n3']) AS node),
+b AS (SELECT id, node, list_transform(string_split(node || chr(31) || id, ''), lambda c: ascii(c)::UHUGEINT) AS bytes FROM m CROSS JOIN n),
+h AS (SELECT id, node, list_reduce(list_prepend(14695981039346656037::UHUGEINT, bytes), lambda x, y: xor(x, y) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS weight FROM b)
+SELECT id AS key, arg_max(node, weight) AS node FROM h GROUP BY id""")
 def rendezvous_owner(spark, d):
     return upkeep.rendezvous(mem(spark, d).select(F.col("id").alias("key")), ["n1", "n2", "n3"])
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from anamnesis.functions import text
-from anamnesis.operators import analytics, graph, lifecycle, retrieval, turns
+from anamnesis.operators import analytics, graph, lifecycle, retrieval, turns, upkeep
 from anamnesis.streaming import alerts
 
 ROW = "id long, user_id string, agent_id string, embedding array<double>"
@@ -201,3 +201,18 @@ def test_write_actions(spark):
     got = sorted((r.action, r.id, r.other) for r in lifecycle.write_actions(m).collect())
     assert got == [("deduplicate", 4, 3), ("invalidate", 2, 1), ("invalidate", 13, 11), ("invalidate_new", 8, 7), ("relate", 10, 9), ("relate", 12, 11), ("relate", 13, 12), ("supersede", 13, 12)]
     assert lifecycle.write_actions(m.limit(0)).count() == 0
+
+
+def test_rendezvous(spark):
+    def weight(key, node):
+        h = text.FNV_BASIS
+        for byte in node.encode() + b"\x1f" + key.encode():
+            h = (h ^ byte) * text.FNV_PRIME % 2**64
+        return h
+
+    keys, nodes = ["", "a", "user-17", "é 漢字", "x" * 300, None, "a"], ["n1", "n2", "node é", "n10"]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = sorted((r.key or "", r.node or "") for r in upkeep.rendezvous(df, nodes).collect())
+    assert got == sorted((k or "", max((weight(k, n), n) for n in nodes)[1] if k is not None else "") for k in keys)
+    assert {r.node for r in upkeep.rendezvous(df, []).collect()} == {None}
+    assert upkeep.rendezvous(df.limit(0), nodes).count() == 0
