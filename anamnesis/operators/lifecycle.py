@@ -175,16 +175,21 @@ def clusters(m: DataFrame, least: float, size: int, now: int, written) -> DataFr
 
 
 def consolidated(m: DataFrame, label: DataFrame) -> DataFrame:
-    """One semantic memory for each component: distinct lower-cased sentences in order of (id, place), most confidence, mean
-    vector of unit length."""
+    """One semantic memory for each component: distinct lower-cased sentences (up to a full stop) in order of (id, place), empty
+    without any; the most confidence; the mean vector of unit length, over the rows whose vectors are as long as the first
+    one's (a mean of zero stays zero)."""
     rows = m.join(label, "id")
-    s = rows.select("component", "id", F.posexplode(F.split("content", r"[.!?\n]")).alias("p", "s")).select("component", "id", "p", F.lower(F.trim("s")).alias("s")).where("s <> ''")
+    s = rows.select("component", "id", F.posexplode(F.split("content", r"\.")).alias("p", "s"))
+    s = s.select("component", "id", "p", F.lower(F.regexp_replace("s", r"^\s+|\s+$", "")).alias("s")).where("s <> ''")
     first = s.groupBy("component", "s").agg(F.min(F.struct("id", "p")).alias("at"))
     content = first.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), ". ").alias("content"))
-    mean = rows.select("component", F.posexplode("embedding").alias("d", "v")).groupBy("component", "d").agg(F.avg("v").alias("v"))
+    most = rows.groupBy("component").agg(F.max("confidence").alias("confidence"), F.min_by(F.size("embedding"), "id").alias("size"))
+    alike = rows.join(most.select("component", "size"), "component").where(F.size("embedding") == F.col("size"))
+    mean = alike.select("component", F.posexplode("embedding").alias("d", "v")).groupBy("component", "d").agg(F.avg("v").alias("v"))
     length = mean.groupBy("component").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"), F.array_sort(F.collect_list(F.struct("d", "v"))).alias("v"))
-    unit = length.select("component", F.expr("transform(v, x -> x.v / n)").alias("embedding"))
-    return content.join(rows.groupBy("component").agg(F.max("confidence").alias("confidence")), "component").join(unit, "component", "left").withColumn("memory_type", F.lit("semantic"))
+    unit = length.select("component", F.expr("transform(v, x -> IF(n > 0, x.v / n, x.v))").alias("embedding"))
+    out = most.drop("size").join(content, "component", "left").join(unit, "component", "left")
+    return out.select("component", F.coalesce("content", F.lit("")).alias("content"), "confidence", "embedding", F.lit("semantic").alias("memory_type"))
 
 
 def decay(m: DataFrame, now: int) -> DataFrame:

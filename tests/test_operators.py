@@ -216,3 +216,27 @@ def test_rendezvous(spark):
     assert got == sorted((k or "", max((weight(k, n), n) for n in nodes)[1] if k is not None else "") for k in keys)
     assert {r.node for r in upkeep.rendezvous(df, []).collect()} == {None}
     assert upkeep.rendezvous(df.limit(0), nodes).count() == 0
+
+
+def test_consolidated(spark):
+    rows = [
+        (1, "Tea is green. It is hot!  Tea is green", 0.5, [3.0, 0.0], 1),
+        (2, " it is hot! tea is green\n. New", 0.9, [0.0, 4.0], 1),
+        (3, "Other length.", 0.1, [1.0], 1),
+        (4, None, 0.2, [0.0, 0.0], 4),
+        (5, " . ", 0.3, [0.0, 0.0], 4),
+        (6, "alone", 0.4, None, 6),
+    ]
+    m = spark.createDataFrame([r[:4] for r in rows], "id long, content string, confidence double, embedding array<double>")
+    label = spark.createDataFrame([(r[0], r[4]) for r in rows], "id long, component long")
+    want = {}
+    for c in {r[4] for r in rows}:
+        group = [r for r in rows if r[4] == c]
+        said = list(dict.fromkeys(x.strip().lower() for r in group for x in (r[1] or "").split(".") if x.strip()))
+        vectors = np.array([r[3] for r in group if r[3] and group[0][3] and len(r[3]) == len(group[0][3])])
+        mean = vectors.mean(axis=0) if len(vectors) else None
+        unit = None if mean is None else (mean / np.linalg.norm(mean) if mean.any() else mean).round(9).tolist()
+        want[c] = (". ".join(said), max(r[2] for r in group), unit)
+    got = {r.component: (r.content, r.confidence, r.embedding and [round(v, 9) for v in r.embedding]) for r in lifecycle.consolidated(m, label).collect()}
+    assert got == want
+    assert lifecycle.consolidated(m.limit(0), label).count() == 0
