@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 BLOCK_BYTES = 1 << 18
 #: Bytes that are hashed at a time, unless one word is longer.
 PIECE_BYTES = 1 << 20
+#: Bytes of a batch of rows on its way to a Python worker, about, unless one row is longer.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about BATCH_BYTES, unless the session names a size: as Spark comes, a batch
+    is 10,000 rows or 64 MB, which the executor's JVM and its Python worker each hold, twice while their buffers grow."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit, None) is None:
+        conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(m)
 
@@ -111,7 +123,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
+        size = 1 << n.bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

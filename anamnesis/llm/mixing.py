@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh, words, written
+from .common import blocks, fresh, mapped, words, written
 from .feistel import invert, permute
 
 BLOCK_WORDS = 256
@@ -240,4 +240,4 @@ def mixed_documents(docs: DataFrame, m: Mixture) -> DataFrame:
                     columns[j] = pa.array([len(t) for t in texts], pa.int64()).cast(kept.column(j).type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return mapped(joined, run, docs.schema)

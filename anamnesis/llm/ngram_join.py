@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, word_hashes, written
+from .common import blocks, mapped, mix, word_hashes, written
 from .components import components
 
 N = 5
@@ -162,7 +162,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(CHUNKS, np.int32)), pa.nulls(CHUNKS, kind), pa.array(np.arange(CHUNKS)), *[pa.array(np.zeros(CHUNKS, np.int64))] * 2, pa.array(parts, pa.binary())], names=["kind", "id", "n", "c", "d", "part"])
 
     form = docs.schema[id_col].dataType.simpleString()
-    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"kind int, id {form}, n long, c long, d long, part binary"), "profile")
+    return written(mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, f"kind int, id {form}, n long, c long, d long, part binary"), "profile")
 
 
 def _merge(parts: DataFrame, how) -> dict[int, bytes]:
@@ -238,7 +238,7 @@ def postings(docs: DataFrame, ranks: np.ndarray, excess: np.ndarray, clashing: n
         if held:
             yield flush()
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "bucket int, part binary")
+    return mapped(docs.select(F.col(text_col).alias("t")), run, "bucket int, part binary")
 
 
 def _split(token: np.ndarray, at: np.ndarray, split: np.ndarray, c: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +308,7 @@ def pivots(lists: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c[may].view(np.int64)), pa.array(np.full(len(may), c[0]).view(np.int64))], names=["x", "y"])
 
     # unsigned order is lost in the signed column; any fixed choice will do
-    return lists.where(F.col("width") > LONG).select("part").mapInArrow(run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
+    return mapped(lists.where(F.col("width") > LONG).select("part"), run, "x long, y long").groupBy("x").agg(F.min("y").alias("y"))
 
 
 def open_lists(lists: DataFrame, percent: int) -> DataFrame:
@@ -353,7 +353,7 @@ def open_lists(lists: DataFrame, percent: int) -> DataFrame:
             may[i] = may[i + d] = True
         return pa.RecordBatch.from_arrays([pa.array(name[may].view(np.int64)), pa.array(c[may].view(np.int64)), pa.array(n[may]), pa.array(at[may])], names=["list", "c", "n", "at"])
 
-    return lists.select("part").mapInArrow(rows, "list long, c long, n long, at long")
+    return mapped(lists.select("part"), rows, "list long, c long, n long, at long")
 
 
 def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -471,19 +471,20 @@ def sets_for(docs: DataFrame, wanted: DataFrame, clashing: np.ndarray, id_col: s
 
     got = _merge(wanted.select(F.xxhash64("id").alias("h")).distinct().coalesce(8).mapInArrow(bits, "n long, part binary"), either)
     blank = bytes(BLOOM // 8 // CHUNKS)
-    filter_ = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(b"".join(got.get(k, blank) for k in range(CHUNKS)), np.uint8)).astype(bool))
+    filter_ = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(k, blank) for k in range(CHUNKS)), np.uint8))
     form = docs.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = filter_.value[(batch.column(2).to_numpy().view(np.uint64) % np.uint64(BLOOM)).astype(np.int64)]
-            part = batch.filter(pa.array(may))
+            at = (batch.column(2).to_numpy().view(np.uint64) % np.uint64(BLOOM)).astype(np.int64)
+            may = filter_.value[at >> 3] << (at & 7).astype(np.uint8) & 0x80  # the first of eight bits is the highest
+            part = batch.filter(pa.array(may > 0))
             for lo, hi, h, bounds in sets_of(part.column(1)):
                 c = keys_of(*names_of(h, bounds), clashing)
                 members = [h[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(c.view(np.int64)), pa.array(members, pa.binary())], names=["id", "c", "members"])
 
-    made = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).mapInArrow(sets, f"id {form}, c long, members binary")
+    made = mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")), sets, f"id {form}, c long, members binary")
     return wanted.join(made, (wanted["c"] == made["c"]) & wanted["id"].eqNullSafe(made["id"])).select(*[wanted[x] for x in wanted.columns if x != "id"], made["members"])
 
 

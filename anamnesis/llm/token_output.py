@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch_path, written
+from .common import blocks, mapped, scratch_path, written
 from .feistel import permute
 
 LENGTH, SHARD_BYTES = 1024, 24 << 20
@@ -118,7 +118,7 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
         if held:
             yield cut(True)
 
-    packed = rows.mapInArrow(pack, f"shard int, place long, part binary, n_tokens int, doc_ids array<{kind}>")
+    packed = mapped(rows, pack, f"shard int, place long, part binary, n_tokens int, doc_ids array<{kind}>")
     # a partition for each range of places, without sampling: the ranges are known
     dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "place")
 
@@ -149,7 +149,7 @@ def materialise(docs: DataFrame, tokenizer: str, out: str | None = None, length:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), pa.array(at * width), batch.column(3), batch.column(4)], names=["shard", "rank", "offset", "n_tokens", "doc_ids"])
         close()
 
-    index = written(dealt.mapInArrow(write, f"shard int, rank long, offset long, n_tokens int, doc_ids array<{kind}>"), "index")
+    index = written(mapped(dealt, write, f"shard int, rank long, offset long, n_tokens int, doc_ids array<{kind}>"), "index")
     counts = index.groupBy("shard").agg(F.count("*").alias("n"))  # a row for each shard
     first = counts.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first"))
     path = F.concat(F.lit(out + "/shard-"), F.lpad(F.col("shard").cast("string"), 5, "0"), F.lit(".bin"))

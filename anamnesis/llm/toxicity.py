@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_sample, row_of, span_hashes, words, written
+from .common import blocks, labelled_sample, mapped, row_of, span_hashes, words, written
 
 SPAN, DECAY, SYMBOLS = 7, 0.6, 64
 #: Symbol that stands before a string.
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                 label = y[lo + np.array([r for r, _ in cut], np.int64)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([p for _, p in cut], pa.string()), pa.array(label)], names=["word", "y"])
 
-    counted = some.select("t", "y").mapInArrow(distinct, "word string, y int").where("length(word) > 2").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
+    counted = mapped(some.select("t", "y"), distinct, "word string, y int").where("length(word) > 2").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     counted = written(counted, "words")
     n1, n0 = sizes[1], sizes[0]
     # a word marks toxic texts where chance would hardly give any word so uneven a share: n KL(share of the word, share
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                         text, y, m = text + cut, y + [toxic] * len(cut), m + values
                     yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(y, pa.int32()), pa.array(m, pa.float64())], names=["word", "y", "margin"])
 
-        seen = some.select("t", "y").mapInArrow(witnesses, "word string, y int, margin double").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.max("margin").alias("margin")).toPandas()
+        seen = mapped(some.select("t", "y"), witnesses, "word string, y int, margin double").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.max("margin").alias("margin")).toPandas()
         seen = seen[seen.word.str.len() > 2]
         hard = seen[(seen.good > 0) & (seen.good * n1 >= 0.2 * seen.bad * n0)]
         sure = seen[(seen.bad > 0) & (seen.good == 0) & (seen.margin > 0.5)]
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(top[:, 0]), pa.array(top[:, 1]), batch.column(1).slice(lo, hi - lo)], names=["a", "b", "y"])
 
     kind = some.schema["y"].dataType.simpleString()
-    t = some.select("t", "y").mapInArrow(tops, f"a double, b double, y {kind}").toPandas()
+    t = mapped(some.select("t", "y"), tops, f"a double, b double, y {kind}").toPandas()
     # the sample's shares are not those of the labels: half-way between the two on the scale of odds
     shares = _sizes(labels, training, label_col)
     tilt = (shares[0] / max(1, shares[1]) * n1 / n0) ** 0.5
@@ -396,7 +396,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return mapped(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -409,4 +409,4 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text", thresh
                 top, _ = shared.value.texts(data, offsets)
                 yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.probability(top) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

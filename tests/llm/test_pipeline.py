@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from anamnesis.llm import mixing
+from anamnesis.llm import common, mixing, ngram_join, queries, token_output, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, key string, _key string, _copy int, _its_id long, id string, t string, u string, n int, row int"
 
@@ -76,3 +79,35 @@ def test_token_output_stage(spark, sf_dir):
     assert sorted(r.slot for r in out) == list(range(len(out)))
     assert sum(r.n_tokens for r in out) > 200
     assert corpus_pipeline.write_tokens(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_take_texts_in_batches_of_bounded_size(spark, sf_dir):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    machine = toxicity.Machine(np.zeros(toxicity.SYMBOLS**3, np.float32), -1.0)
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    text = F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("word "), 1600))
+    for operator in (
+        lambda docs: toxicity.keep_clean(docs, machine),
+        lambda docs: ngram_join.profile(docs, "doc_id", "text"),
+        lambda docs: mixing.mixed_documents(docs, mixing.mix(docs)),
+        lambda docs: token_output.materialise(docs, path),
+    ):
+        own = spark.newSession()  # its settings are its own
+        docs = own.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+        assert operator(docs).count()
+        got = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 12_000_000 and max(got) < 4_000_000
+
+
+def test_powers_are_kept_for_the_longest_block_only():
+    common._powers[:] = [np.ones(1, np.uint64)] * 2
+    data = np.frombuffer(b"word " * (common.BLOCK_BYTES // 5), np.uint8)
+    starts = np.arange(0, len(data), 5)
+    small = common.span_hashes(data, starts, starts + 4)
+    assert sum(p.nbytes for p in common._powers) <= 32 * (len(data) + 1)
+    long = np.frombuffer(b"x" * (3 << 20), np.uint8)  # one word: tables grow, names stay
+    common.span_hashes(long, np.array([0]), np.array([len(long)]))
+    assert (common.span_hashes(data, starts, starts + 4) == small).all() and len(set(small.tolist())) == 1
