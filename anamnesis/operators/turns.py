@@ -206,12 +206,28 @@ def ghosts(t: DataFrame, speculation: list[str], actions: DataFrame) -> DataFram
 
 def cache_hits(asks: DataFrame, cache: DataFrame, least: float = 0.5) -> DataFrame:
     """For each ask (ask, query) the cached topic with the most words in common, above `least`; ties to the older entry, then the
-    lesser topic: ask, topic, score. Texts meet only by the rarest of their words, of which two texts that are similar
-    enough must share one: n - ceil(least x n) + 1 of n words."""
-    words = F.array_distinct(text.words(F.lower("text")))
-    asked = asks.select(F.col("query").alias("text")).distinct().withColumns({"words": words, "asked": F.lit(True)})
-    held = cache.select(F.col("topic").alias("text")).distinct().withColumns({"words": words, "asked": F.lit(False)})
-    each = asked.union(held).select("text", "words", "asked", F.explode("words").alias("w"))
+    lesser topic: ask, topic, score. A query with the very words of a topic scores 1, which no other topic exceeds, and finds it
+    by its word set. Only the other queries are compared: texts meet by the rarest of their words, of which two texts that are
+    similar enough must share one: n - ceil(least x n) + 1 of n words."""
+    words = F.array_sort(F.array_distinct(text.words(F.lower("text"))))
+    asked = asks.select(F.col("query").alias("text")).distinct().withColumn("words", words).where(F.size("words") > 0)
+    held = cache.select(F.col("topic").alias("text"), "created_at").withColumn("words", words).where(F.size("words") > 0)
+    eldest = held.where(F.lit(least) < 1).groupBy("words").agg(F.min(F.struct("created_at", "text")).alias("e"))
+    told = written(asked.join(eldest, "words", "left"), "told")
+    best = told.where("e IS NOT NULL").select(F.col("text").alias("query"), F.col("e.text").alias("topic"), F.lit(1.0).alias("score"), F.col("e.created_at").alias("created_at"))
+    first = [F.desc("score"), F.col("created_at"), F.col("topic")]
+    rest = told.where("e IS NULL")
+    if not rest.isEmpty():
+        best = best.union(_most_alike(rest.select("text", "words"), held, least, first))
+    every = asks.join(best, "query")  # an ask may have several queries
+    return every.withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy(*first))).where("k = 1").select("ask", "topic", "score")
+
+
+def _most_alike(asked: DataFrame, held: DataFrame, least: float, first: list[Column]) -> DataFrame:
+    """For each asked text (text, words) the first of the held ones (text, words, created_at) above `least`: query, topic, score,
+    created_at."""
+    each = asked.withColumn("asked", F.lit(True)).union(held.select("text", "words").distinct().withColumn("asked", F.lit(False)))
+    each = each.select("text", "asked", F.explode("words").alias("w"))
     count = each.groupBy("w").agg(F.count("*").alias("c"))
     order = each.join(count, "w").groupBy("text", "asked").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("ws"))
     most = F.size("ws") - F.ceil(F.size("ws") * F.lit(least)).cast("int") + 1
@@ -220,11 +236,9 @@ def cache_hits(asks: DataFrame, cache: DataFrame, least: float = 0.5) -> DataFra
     c = rare.where("NOT asked").select(F.col("text").alias("topic"), F.col("words").alias("b"), "w")
     short = F.least(F.size("a"), F.size("b")) >= least * F.greatest(F.size("a"), F.size("b"))
     near = q.join(c, "w").where(short).select("query", "topic", text.jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") > least).distinct()
-    met = near.join(cache.select("topic", "created_at"), "topic")
-    first = [F.desc("score"), F.col("created_at"), F.col("topic")]
-    best = met.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(*first))).where("k = 1").drop("k")
-    every = asks.join(best, "query")  # an ask may have several queries
-    return every.withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy(*first))).where("k = 1").select("ask", "topic", "score")
+    met = near.join(held.select(F.col("text").alias("topic"), "created_at"), "topic")
+    ranked = met.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy(*first)))
+    return ranked.where("k = 1").select("query", "topic", "score", "created_at")
 
 
 def accessed(cache: DataFrame, hits: DataFrame, now: int) -> DataFrame:

@@ -252,6 +252,29 @@ def test_nearest_rows_are_settled_where_a_block_meets_its_owner(spark, monkeypat
     assert max(r["count"] for r in near.groupBy("id").count().collect()) == 3
 
 
+def test_cache_hits(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["The", "the", "red", "blue", "tea", "is", "hot", "cold", "and", "sweet"]
+    texts = ["", " ", *{" ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for _ in range(120)}]
+    cache = [(t, rng.choice([None, 1, 2, 3]), 0, 0) for t in texts[::2]]
+    asks = [(rng.randrange(60), t) for t in texts] + [(60, "tea  hot"), (61, None), (62, "none of these")]
+    parts = (spark.createDataFrame(asks, "ask long, query string"), spark.createDataFrame(cache, "topic string, created_at long, last_accessed long, hit_count long"))
+    steps, kept = [], turns.written
+    monkeypatch.setattr(turns, "written", lambda df, name: steps.append(name) or kept(df, name))
+    for least in (0.5, 0.3, 1.0):
+        want = {}
+        for ask, query in asks:
+            for topic, at, *_ in cache:
+                a, b = (set((t or "").lower().split()) for t in (query, topic))
+                if a | b and len(a & b) / len(a | b) > least:
+                    want[ask] = min(want.get(ask, (0, 9, "")), (-len(a & b) / len(a | b), at or 0, topic))
+        assert {r.ask: (-r.score, r.topic) for r in turns.cache_hits(*parts, least).collect()} == {k: (s, t) for k, (s, _, t) in want.items()}
+    steps.clear()
+    same = parts[1].select(F.lit(1).alias("ask"), F.concat("topic", F.lit(" "), "topic").alias("query"))
+    assert turns.cache_hits(same, parts[1]).count() == 1 and steps == ["told"]  # no texts were compared
+    assert turns.cache_hits(*(p.limit(0) for p in parts)).count() == 0
+
+
 def test_compressed_trims_spaces_and_no_digits(spark):
     rows = [(1, "007 agents. 1 must go. must stay 1"), (2, " . First. Second"), (3, "a.  must b \n\n  . c0. d"), (4, ""), (5, " . "), (6, None)]
     got = {r.id: r.content for r in lifecycle.compressed(spark.createDataFrame(rows, "id long, content string")).collect()}
