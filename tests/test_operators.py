@@ -6,8 +6,10 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from anamnesis import turn_queries  # noqa: F401
 from anamnesis.functions import text
 from anamnesis.operators import analytics, graph, lifecycle, retrieval, turns, upkeep
+from anamnesis.queries import QUERIES
 from anamnesis.streaming import alerts
 
 ROW = "id long, user_id string, agent_id string, embedding array<double>"
@@ -275,6 +277,17 @@ def test_cache_hits(spark, monkeypatch):
     assert turns.cache_hits(*(p.limit(0) for p in parts)).count() == 0
 
 
+def steps_of(spark, monkeypatch, name):
+    steps, kept = [], turns.written
+    monkeypatch.setattr(turns, "written", lambda df, step: steps.append(step) or kept(df, step))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    return steps
+
+
+def test_cache_stats_compare_no_texts_with_themselves(spark, monkeypatch):
+    assert steps_of(spark, monkeypatch, "cache_stats") == ["told"]
+
+
 def test_compressed_trims_spaces_and_no_digits(spark):
     rows = [(1, "007 agents. 1 must go. must stay 1"), (2, " . First. Second"), (3, "a.  must b \n\n  . c0. d"), (4, ""), (5, " . "), (6, None)]
     got = {r.id: r.content for r in lifecycle.compressed(spark.createDataFrame(rows, "id long, content string")).collect()}
