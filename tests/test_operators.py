@@ -288,6 +288,10 @@ def test_cache_stats_compare_no_texts_with_themselves(spark, monkeypatch):
     assert steps_of(spark, monkeypatch, "cache_stats") == ["told"]
 
 
+def test_cache_after_hits_compares_no_texts_with_themselves(spark, monkeypatch):
+    assert steps_of(spark, monkeypatch, "cache_after_hits") == ["told"]
+
+
 def test_compressed_trims_spaces_and_no_digits(spark):
     rows = [(1, "007 agents. 1 must go. must stay 1"), (2, " . First. Second"), (3, "a.  must b \n\n  . c0. d"), (4, ""), (5, " . "), (6, None)]
     got = {r.id: r.content for r in lifecycle.compressed(spark.createDataFrame(rows, "id long, content string")).collect()}
