@@ -32,7 +32,7 @@ SELECT sim.a, sim.b, round(similarity, 6) AS similarity FROM sim JOIN sc x ON x.
 )
 def conflict_candidates(spark, d):
     m = mem(spark, d, True)
-    return upkeep.conflict_candidates(m, T.edges(spark, d), lifecycle.similar_pairs(m, 0.1), 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return upkeep.conflict_candidates(m, T.edges(spark, d), 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT agent_id, count(*) AS memories, sum(strlen(content))::BIGINT AS bytes, round(greatest(count(*) / 1000.0::DOUBLE, sum(strlen(content)) / 1000000.0::DOUBLE) * 100, 4) AS percent, count(*) < 1000 AND sum(strlen(content)) < 1000000 AS can_write FROM m GROUP BY agent_id")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from anamnesis import turn_queries  # noqa: F401
@@ -292,6 +293,39 @@ def test_cache_after_hits_compares_no_texts_with_themselves(spark, monkeypatch):
     assert steps_of(spark, monkeypatch, "cache_after_hits") == ["told"]
 
 
+def test_conflict_candidates(spark, monkeypatch):
+    rows, m = vectors(spark)
+    tag = {r[0]: [[], ["x", "scope:project:p"], ["scope:global"]][r[0] % 3] for r in rows}
+    m = m.join(spark.createDataFrame(list(tag.items()), "id long, tags array<string>"), "id")
+    edges = [(9, 3, "contradicts"), (6, 12, "supersedes"), (4, 7, "related"), (62, 63, "supersedes")]
+    held = [r for r in rows if r[3] and r[1]]
+    near = {(a[0], b[0]) for a in held for b in held if a[0] < b[0] and a[1] == b[1] and 0.1 <= cosine(a[3], b[3]) < 0.9 and tag[a[0]] == tag[b[0]]}
+    want = near - {(min(s, t), max(s, t)) for s, t, kind in edges if kind != "related"}
+    assert len(want) > 20
+    for block in (2000, 2):
+        monkeypatch.setattr(lifecycle, "BLOCK", block)
+        got = upkeep.conflict_candidates(m, spark.createDataFrame(edges, "source long, target long, edge_type string"), 0.1, 0.9)
+        assert {(r.a, r.b) for r in got.collect()} == want
+
+
+def test_a_task_holds_one_block_and_a_stretch():
+    own, passing = [], []
+
+    def start(ids, x):
+        def meet(others, y, same):
+            if not same:
+                passing.append(others.tolist())
+            return ()
+
+        own.append(ids.tolist())
+        return meet, lambda: iter([(ids[:1],)])
+
+    at, far = [0] * 9 + [1] * 5, [False] * 2 + [True] * 7 + [False] * 5
+    table = pa.table({"at": at, "id": range(14), "embedding": [[1.0, 2.0]] * 14, "far": far})
+    ends = [x[0].tolist() for x in lifecycle._passed(table.to_batches(max_chunksize=6), ["at"], start, 3)]
+    assert own == [[0, 1], [9, 10, 11, 12, 13]] and passing == [[2, 3, 4], [5], [6, 7, 8]] and ends == [[0], [9]]
+
+
 def test_compressed_trims_spaces_and_no_digits(spark):
     rows = [(1, "007 agents. 1 must go. must stay 1"), (2, " . First. Second"), (3, "a.  must b \n\n  . c0. d"), (4, ""), (5, " . "), (6, None)]
     got = {r.id: r.content for r in lifecycle.compressed(spark.createDataFrame(rows, "id long, content string")).collect()}
